@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrand.llm.chat_format import rotate
+from lodestrand.llm.decontamination import contamination
+from lodestrand.llm.language_id import identify
+from lodestrand.llm.mixing import mix
 from lodestrand.llm.near_dedup import near_duplicates
+from lodestrand.llm.sharding import assign
+from lodestrand.llm.substring_dedup import removal
 from lodestrand.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +29,60 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+@query(
+    "op2_substring_dedup",
+    r"""
+    WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    starts AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+    twice AS (SELECT k FROM starts GROUP BY k HAVING count(*) > 1),
+    ordered AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j FROM starts SEMI JOIN twice USING (k)),
+    gone AS (SELECT doc_id, unnest(range(greatest(i, coalesce(j + 35, i)), i + 35)) AS p FROM ordered),
+    placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words WHERE len(w) > 0),
+    left_over AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(l.n, 0))::BIGINT AS n_removed, sha256(coalesce(l.kept, '')) AS kept_sha256
+    FROM words d LEFT JOIN left_over l USING (doc_id)
+    """,
+)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal(documents(spark, sf_dir), window=35)
+
+
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(documents(spark, sf_dir), n_shards=8)
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
+@query(
+    "op7_decontamination",
+    r"""
+    WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+    items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    sized AS (SELECT item_id, w, least(13, len(w)) AS k FROM items WHERE len(w) > 0),
+    patterns AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+    lengths AS (SELECT DISTINCT k FROM patterns),
+    starts AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, lengths WHERE len(w) >= k)),
+    hits AS (SELECT s.doc_id, s.k, s.i, b.item_id FROM starts s JOIN patterns b ON s.k = b.k AND s.p = b.p),
+    hit_words AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS at_word FROM (SELECT DISTINCT doc_id, i, k FROM hits)) GROUP BY doc_id),
+    hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
+           coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+    FROM words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
+    """,
+)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query(
     "op8_near_dedup",
     r"""
@@ -46,3 +106,24 @@ def query(name: str, sql: str | None = None):
 )
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
+
+
+@query(
+    "op10_chat_format",
+    """
+    WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn // 64, 0)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    people AS (SELECT DISTINCT conv_id, piece, role AS perspective FROM turns WHERE role <> 'system'),
+    headed AS (
+      SELECT t.*, p.perspective, CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END AS header
+      FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.piece = p.piece),
+    shown AS (SELECT *, '<|im_start|>' || header || chr(10) || text || '<|im_end|>' || chr(10) AS r FROM headed),
+    placed AS (
+      SELECT *, coalesce(sum(length(r)) OVER (PARTITION BY conv_id, piece, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM shown)
+    SELECT conv_id, piece, 0::BIGINT AS part, perspective, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_masked_in,
+           string_agg(r, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+           coalesce(string_agg((begin_at + 13 + length(header))::VARCHAR || ':' || (begin_at + length(r) - 1)::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = perspective), '') AS spans
+    FROM placed GROUP BY conv_id, piece, perspective
+    """,
+)
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
