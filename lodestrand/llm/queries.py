@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrand.llm.chat_format import rotate
 from lodestrand.llm.decontamination import contamination
 from lodestrand.llm.language_id import identify
 from lodestrand.llm.mixing import mix
 from lodestrand.llm.near_dedup import near_duplicates
+from lodestrand.llm.quality_classifier import classify
+from lodestrand.llm.quality_rules import judge, train
+from lodestrand.llm.secret_scan import secret_digest
 from lodestrand.llm.sharding import assign
 from lodestrand.llm.substring_dedup import removal
 from lodestrand.llm.tables import documents
@@ -57,6 +61,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(documents(spark, sf_dir), n_shards=8)
 
 
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return judge(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(documents(spark, sf_dir))
+
+
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
@@ -108,6 +123,14 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=2, percent=80)
 
 
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no URL: a source stands for the host, and its languages for its paths."""
+    docs = documents(spark, sf_dir)
+    sited = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return classify(sited, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query(
     "op10_chat_format",
     """
