@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Stateful stream operators: think tags, event framing, limits, delivery guards."""
