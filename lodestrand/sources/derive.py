@@ -18,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the driver's tables of ``sf_dir``."""
     named = sorted(set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)) & set(TABLES))
-    text = sql
+    text = sql.replace("{", "{{").replace("}", "}}")
     for name in named:
         text = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in named})
