@@ -8,14 +8,16 @@ compressed to two bytes each, are its key; documents that share a key are candid
 With J = 0.8 a band agrees with probability 0.8 ** 5 = 0.33, so all 32 bands miss a pair
 once in 3e5 cases, and less often above 0.8.
 
-Steps: (1) documents with the same shingle set become one class; (2) within the classes
-that share a band key, each is compared with the key's least class, then with one picked
-by hash, and last all classes of a key that are still in different components are
-compared with each other; a pair in one component already needs no comparison, which
-keeps the work on a group of n near copies proportional to n; (3) before a comparison,
-pairs whose set sizes rule the threshold out, or whose collision-corrected sketch
-estimate is more than ``SLACK`` below it, are skipped; (4) the comparison itself is made
-on the full shingle sets.
+Steps: (1) documents with the same shingle set become one class. (2) Of the classes that
+share a band key, each is compared with the key's least class, then with one picked by
+hash; classes in one component need no further comparison. (3) What is still in different
+components under a key is compared completely. Under keys of at most ``LIGHT`` classes,
+by pairs. Under the others, the classes outside the key's largest component (strays) are
+attached to it, and the strays of a component are compared with all of its members and
+with each other, in blocks; only links that join components come out, so the number of
+rows stays proportional to the group. (4) Pairs whose set sizes rule the threshold out, or
+whose collision-corrected sketch estimate is more than ``SLACK`` below it, are skipped
+before they are compared; comparisons are made on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ from lodestrand.llm.words import LOWER, TOP, U64, chunks, mix, split, window_has
 BANDS, BUCKETS, MANTISSA = 32, 5, 10
 #: The estimate's standard error at J = 0.8 is 0.4 / sqrt(160) = 0.032; this is seven of them.
 SLACK = 0.22
+LIGHT = 32
+#: Shingles that a block of classes holds, on average (8 bytes each).
+BLOCK_SHINGLES = 1_000_000
 #: Rows of 8-byte ids that may be broadcast (8 MB); with more, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -191,6 +196,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def heavy_links(at: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among the classes of heavy keys ``at(band_key, rep, component)``.
+
+    A component with its strays is dealt to blocks by size; a task holds a block of them and a
+    block of the strays.
+    """
+    counts = at.groupBy("band_key", "component").count()
+    largest = counts.groupBy("band_key").agg(F.max(F.struct("count", "component")).alias("m")).select("band_key", F.col("m.component").alias("home"))
+    strays = cut(at.join(largest, "band_key").where("component <> home").select("home", "rep").distinct(), "strays")
+    homes = strays.select("home").distinct()
+    members = label.select(F.col("component").alias("home"), F.col("node").alias("rep")).join(homes, "home", "left_semi")
+    sized = sets.select("rep", "members", (F.length("members") / 8).alias("n"))
+    group = members.withColumn("stray", F.lit(False)).unionByName(strays.withColumn("stray", F.lit(True)))
+    held = cut(group.join(sized, "rep").select("home", "stray", "rep", "members", "n"), "groups")
+    blocks = held.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("asked"))
+    placed = held.join(blocks, "home")
+    block, turn = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asked")).cast("int")
+    targets = placed.select("home", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("turn"), "stray", F.lit(False).alias("asks"), "rep", "members")
+    queries = placed.where("stray").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "stray", F.lit(True).alias("asks"), "rep", "members")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks, stray, rep = (table.column(c).to_numpy() for c in ("asks", "stray", "rep"))
+        held = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in table.column("members")]
+        out: list[tuple[int, int]] = []
+        rows = np.flatnonzero(~asks)
+        if len(rows) and asks.any():
+            sizes = np.array([len(held[i]) for i in rows])
+            vocabulary, inverse = np.unique(np.concatenate([held[i] for i in rows]), return_inverse=True)
+            begins = np.cumsum(sizes) - sizes
+            parent: dict = {}
+
+            def find(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            # members of the component are one node
+            home = "home"
+            node = [int(rep[i]) if stray[i] else home for i in rows]
+            for i in np.flatnonzero(asks):
+                spot = np.minimum(np.searchsorted(vocabulary, held[i]), len(vocabulary) - 1)
+                mark = np.zeros(len(vocabulary), dtype=np.int32)
+                mark[spot[vocabulary[spot] == held[i]]] = 1
+                both = np.add.reduceat(mark[inverse], begins)
+                for j in np.flatnonzero(100 * both >= percent * (sizes + len(held[i]) - both)):
+                    x, y = find(int(rep[i])), find(node[j])
+                    if x != y:
+                        parent[x] = y
+                        out.append((int(rep[i]), int(rep[rows[j]])))
+        a, b = ([min(p) for p in out], [max(p) for p in out])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return targets.unionByName(queries).groupBy("home", "block", "turn").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``.
 
@@ -218,14 +278,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     label = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     tested = None
     links = None
-    for step in ("least", "picked", "all"):
+    for step in ("least", "picked", "rest"):
         at = candidates.join(label, F.col("rep") == F.col("node")).select("band_key", "rep", "component")
-        open_keys = at.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band_key")
+        open_keys = at.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band_key", "size")
         at = cut(at.join(open_keys, "band_key"), "open")
         if not at.head(1):
             break
-        if step == "all":
-            x, y = at.select("band_key", F.col("rep").alias("a"), F.col("component").alias("c_a")), at.select("band_key", F.col("rep").alias("b"), F.col("component").alias("c_b"))
+        if step == "rest":
+            light = at.where(F.col("size") <= LIGHT)
+            x, y = light.select("band_key", F.col("rep").alias("a"), F.col("component").alias("c_a")), light.select("band_key", F.col("rep").alias("b"), F.col("component").alias("c_b"))
             pairs = x.join(y, "band_key").where("c_a < c_b")
         else:
             order = F.struct("rep") if step == "least" else F.struct(F.xxhash64("band_key", "rep"), F.col("rep"))
@@ -236,7 +297,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = confirmed(cut(plausible(pairs, classes, threshold), "plausible"), sets, percent)
+        found = confirmed(plausible(pairs, classes, threshold), sets, percent)
+        if step == "rest":
+            heavy = at.where(F.col("size") > LIGHT)
+            if heavy.head(1):
+                found = found.unionByName(heavy_links(heavy, label, sets, percent))
         links = cut(found if links is None else links.unionByName(found), "links")
         grown = components(links)
         label = cut(reps.join(grown, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component")), "label")
