@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.tables import cut, n_partitions
-from lodestrand.llm.words import U64, as_bytes, chunks, covered, split, window_hashes, windows, word_hashes
+from lodestrand.llm.words import U64, as_bytes, chunks, mix, split, window_hashes, windows, word_hashes
 
 WINDOW = 35
 #: Bytes of text whose runs are combined before they are sent.
@@ -200,7 +200,7 @@ class _Candidates:
         span = self.window - self.block + 1
         least = np.lib.stride_tricks.sliding_window_view(small, span)[at].min(axis=1)
         self.hash.append(window_hashes(h, self.window)[at])
-        self.deal.append(least)
+        self.deal.append(mix(least))  # least values crowd near 0; mixed, they spread over the parts
         self.row.append(rows[text])
         self.at.append((at - words.first[text]).astype(np.int32))
 
