@@ -73,7 +73,7 @@ def is_error(flag: Column, text: Column, tool: Column) -> Column:
 def cap_bytes(text: Column, most: int) -> Column:
     """The first ``most`` bytes of UTF-8 with a marker, if there are more; a split character becomes U+FFFD."""
     raw = F.encode(text, "UTF-8")
-    cut = F.call_function("decode", F.substring(raw, 1, most), F.lit("UTF-8"))
+    cut = F.make_valid_utf8(F.substring(raw, 1, most).cast("string"))
     return F.when(F.octet_length(text) > most, F.concat(cut, F.lit(f"\n... [truncated after {most} bytes]"))).otherwise(text)
 
 

@@ -11,7 +11,7 @@ from lodestrand.functions.text import strip
 
 def whole_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, value, modified) of every file under ``root`` whose name matches ``pattern``; malformed UTF-8 becomes U+FFFD."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_modification_time").alias("modified"))
 
 
@@ -119,4 +119,4 @@ def log_lines(records: DataFrame, context: list[str]) -> DataFrame:
 def capped(pages: DataFrame, most: int) -> DataFrame:
     """``pages(body)`` cut at ``most`` bytes."""
     raw = F.encode("body", "UTF-8")
-    return pages.withColumn("body", F.call_function("decode", F.substring(raw, 1, most), F.lit("UTF-8")))
+    return pages.withColumn("body", F.make_valid_utf8(F.substring(raw, 1, most).cast("string")))
