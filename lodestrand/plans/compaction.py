@@ -80,7 +80,7 @@ def strip_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("p04_large_texts", "SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) >= 4000")
 def large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of at least 4000 UTF-8 bytes."""
-    return table(spark, sf_dir, "documents").where(F.octet_length("text") >= 4000).select("doc_id", F.octet_length("text").alias("bytes"))
+    return table(spark, sf_dir, "documents").where(F.octet_length("text") >= 4000).select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
 @register("j01_errored_calls", f"WITH {_ERRORED} SELECT conv_id, tool_use_id FROM errored")
