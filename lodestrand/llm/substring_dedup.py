@@ -271,7 +271,7 @@ RANGES = "row_id long, begin int, length int"
 
 
 def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(row_id, begin, length): runs of ``length`` windows of ``texts(row_id, text, blocks)``, from word ``begin``, that are repeated."""
+    """(row_id, begin, length): runs of ``length`` windows of ``texts`` (row_id, text, blocks, and others unread), from word ``begin``, that are repeated."""
     n = n_partitions(texts.sparkSession)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,8 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
         _, r, b, c = _consecutive(of[hit], at[hit])
         return pa.table({"row_id": r.astype(np.int64), "begin": b.astype(np.int32), "length": c.astype(np.int32)})
 
-    spread = texts.select("row_id", "text", "blocks").mapInArrow(collect, PACKED)
+    # All columns go in, so that the exchange below has the columns of the other use of it.
+    spread = texts.mapInArrow(collect, PACKED)
     key = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("rows"), F.lit(n))).otherwise(F.col("part"))
     return spread.withColumn("group", key.cast("int")).groupBy("group").applyInArrow(compare, RANGES)
 
@@ -331,7 +332,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = with_row_ids(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     hits = hit_anchors(rows.select("row_id", "text"), window).groupBy("row_id").agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
-    held = rows.repartition(n_partitions(docs.sparkSession), "row_id")
+    # No row_id is null; said here, both joins see the same exchange (an inner join would add it to one).
+    held = rows.where("row_id is not null").repartition(n_partitions(docs.sparkSession), "row_id")
     near = held.join(hits.hint("shuffle_hash"), "row_id").select("row_id", "doc_id", "text", "blocks")
     found = repeated_windows(near, window).groupBy("row_id").agg(F.collect_list(F.struct("begin", "length")).alias("ranges"))
     return held.join(found.hint("shuffle_hash"), "row_id", "left").select("row_id", "doc_id", "text", "ranges")
