@@ -63,6 +63,57 @@ def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6
     return scores
 
 
+def symbol_hubs(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(refs(src, hub, weight), defs(hub, dst, factor)) whose products are the edges of ``symbol_edges``.
+
+    A hub is a name, or a defined name without references together with a file that defines
+    it. A name with r referring and d defining files takes r + d rows here, not r * d.
+    """
+    defs = tags.where("kind = 'def'").select("name", F.col("rel_path").alias("dst")).distinct()
+    refs = tags.where("kind = 'ref'").groupBy("name", F.col("rel_path").alias("src")).agg(F.count(F.lit(1)).alias("n"))
+    definers = defs.groupBy("name").agg(F.count(F.lit(1)).alias("definers"))
+    named = defs.join(definers, "name").join(refs.select("name").distinct().withColumn("used", F.lit(True)), "name", "left")
+    hub = F.when(F.col("used"), F.struct(F.col("name"), F.lit(None).cast("string").alias("file"))).otherwise(F.struct(F.col("name"), F.col("dst").alias("file")))
+    out = named.select(hub.alias("hub"), "dst", F.when(F.col("used"), edge_multiplier(F.col("name"), F.col("definers"))).otherwise(F.lit(0.1)).alias("factor"), "used")
+    loops = out.where("used is null").select(F.col("dst").alias("src"), "hub", F.lit(1.0).alias("weight"))
+    met = refs.join(definers.select("name"), "name", "left_semi").select("src", F.struct(F.col("name"), F.lit(None).cast("string").alias("file")).alias("hub"), F.floor(F.sqrt("n")).cast("double").alias("weight"))
+    return met.unionByName(loops), out.select("hub", "dst", "factor")
+
+
+def pagerank_hubs(refs: DataFrame, defs: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6, keep: "callable" = None) -> DataFrame:
+    """``pagerank`` of the graph with an edge of ``weight * factor`` for each row of ``refs`` and ``defs`` that share a hub.
+
+    A round sends each file's share to its hubs and from there to the files that define them,
+    so the edges themselves are never made.
+    """
+    spark = refs.sparkSession
+    cut = keep or (lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist())
+    defs = cut(defs)
+    size = defs.groupBy("hub").agg(F.sum("factor").alias("size"))
+    sized = refs.join(size, "hub")
+    totals = sized.groupBy("src").agg(F.sum(F.col("weight") * F.col("size")).alias("total"))
+    shares = cut(sized.join(totals, "src").select("src", "hub", (F.col("weight") / F.col("total")).alias("share")))
+    nodes = cut(shares.select(F.col("src").alias("node")).union(defs.select("dst")).distinct().join(totals.select(F.col("src").alias("node"), F.lit(True).alias("goes")), "node", "left"))
+    n = nodes.count()
+    scores = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
+    for _ in range(rounds if n else 0):
+        lost = nodes.where("goes is null").join(scores, "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+        at_hub = shares.join(scores.withColumnRenamed("node", "src"), "src").groupBy("hub").agg(F.sum(F.col("score") * F.col("share")).alias("mass"))
+        into = at_hub.join(defs, "hub").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("factor")).alias("came"))
+        new = cut(
+            nodes.select("node")
+            .join(into, "node", "left")
+            .crossJoin(F.broadcast(lost))  # one row
+            .select("node", ((1 - DAMPING) / n + DAMPING * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
+        )
+        if tolerance is not None:
+            moved = new.join(scores.withColumnRenamed("score", "was"), "node").agg(F.sum(F.abs(F.col("score") - F.col("was")))).head()[0]
+            if moved < tolerance * n:
+                return new
+        scores = new
+    return scores
+
+
 def by_mass(ranked: DataFrame, target: float, most: int) -> DataFrame:
     """Nodes of ``ranked(node, score)`` by falling score while the scores before them are below ``target`` of all, at most ``most``; the first always.
 

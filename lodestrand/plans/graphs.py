@@ -37,7 +37,7 @@ def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r01_pagerank", f"{_RANKED} SELECT node, round(score, 8) AS score FROM r5")
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rounds of weighted PageRank over the symbol graph (a fixed number, so that SQL can follow)."""
-    return G.pagerank(G.symbol_edges(select(spark, sf_dir, TAGS)), rounds=5, tolerance=None).withColumn("score", F.round("score", 8))
+    return G.pagerank_hubs(*G.symbol_hubs(select(spark, sf_dir, TAGS)), rounds=5, tolerance=None).withColumn("score", F.round("score", 8))
 
 
 @register(
@@ -46,7 +46,7 @@ def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def files_by_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best files until 60 % of the mass, at most 40."""
-    ranked = G.pagerank(G.symbol_edges(select(spark, sf_dir, TAGS)), rounds=5, tolerance=None)
+    ranked = G.pagerank_hubs(*G.symbol_hubs(select(spark, sf_dir, TAGS)), rounds=5, tolerance=None)
     return G.by_mass(ranked, 0.6, 40).select("node")
 
 

@@ -200,6 +200,14 @@ def test_pagerank_converges(spark):
     assert {r.node for r in best.collect()} == {"a", "b"}
 
 
+def test_pagerank_by_hubs_equals_pagerank_by_edges(spark):
+    rng = random.Random(4)
+    tags = spark.createDataFrame([(f"f{rng.randrange(12)}", f"longName_{rng.randrange(9)}", rng.choice(["def", "ref", "ref", "ref"])) for _ in range(90)] + [("lone", "_only", "def"), ("x", "unknown", "ref")], "rel_path string, name string, kind string")
+    a = {r.node: r.score for r in G.pagerank(G.symbol_edges(tags), rounds=8, tolerance=None).collect()}
+    b = {r.node: r.score for r in G.pagerank_hubs(*G.symbol_hubs(tags), rounds=8, tolerance=None).collect()}
+    assert a.keys() == b.keys() and all(abs(a[n] - b[n]) < 1e-9 for n in a)
+
+
 def test_deferred_text_waits_for_results(spark):
     block = "struct<type:string,text:string,name:string,id:string,input:string,tool_use_id:string>"
     b = lambda **k: {f: k.get(f) for f in ("type", "text", "name", "id", "input", "tool_use_id")}
