@@ -6,10 +6,10 @@ system turns. The loss mask is on for the content of assistant turns and the end
 after it.
 
 A conversation is rendered in pieces of at most ``PIECE`` turn numbers, so no task or row
-holds an unbounded conversation; pieces of one rendering, in order, join to the whole. A
-piece is rendered for the participants who speak in it, as without own turns it has no
-loss. The text is shuffled once, to gather the turns of a piece; the perspectives are made
-after that.
+holds an unbounded conversation; pieces of one rendering, in order, join to the whole, if
+``everyone`` gets every piece. Otherwise a piece is rendered only for the participants who
+speak in it, as without own turns it has no loss. The text is shuffled once, to gather the
+turns of a piece; the perspectives are made after that.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def rotate(turns: DataFrame, piece: int = PIECE, rows_per_piece: int = ROWS) -> DataFrame:
+def rotate(turns: DataFrame, piece: int = PIECE, rows_per_piece: int = ROWS, everyone: bool = False) -> DataFrame:
     """One row for each conversation, piece, part and participant of ``turns(conv_id, turn, role, text)``.
 
     Returns conv_id, piece, part, perspective, n_turns, n_masked_in (turns with loss),
     rendered, and spans: begin:end of the masked-in characters (code points of ``rendered``,
     end exclusive), comma-joined.
 
-    A participant is a distinct role other than ``system``; a piece without one has no rows. A
+    A participant is a distinct role other than ``system``, of the piece, or of the conversation
+    if ``everyone`` is set; without one there are no rows. Who is silent in a piece has no
+    turns with loss in it, and empty spans. A
     null role is the participant ``unknown``, a null text is empty, a null turn comes first
     and lies in piece 0. Equal turn numbers are ordered by role, then text; rows equal in
     conv_id, turn, role and text are one turn. A null conv_id is a conversation like any
@@ -59,8 +61,11 @@ def rotate(turns: DataFrame, piece: int = PIECE, rows_per_piece: int = ROWS) ->
         rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("t"), F.col("parts")), F.lit(0)).cast("long")).drop("c", "p", "parts")
     else:
         rows = rows.withColumn("part", F.lit(0).cast("long"))
-    grouped = rows.groupBy("conv_id", "piece", "part").agg(F.collect_list("t").alias("ts")).withColumn("ts", F.array_sort(F.array_distinct("ts")))
-    people = F.array_distinct(F.transform(F.filter("ts", lambda t: t["role"] != SYSTEM), lambda t: t["role"]))
+    rows = rows.withColumn("listener", F.lit(None).cast("string"))
+    if everyone:
+        rows = _with_listeners(rows)
+    grouped = rows.groupBy("conv_id", "piece", "part").agg(F.collect_list("t").alias("ts"), F.collect_set("listener").alias("listeners")).withColumn("ts", F.array_sort(F.array_distinct("ts")))
+    people = F.array_union(F.transform(F.filter("ts", lambda t: t["role"] != SYSTEM), lambda t: t["role"]), "listeners")
     seen = grouped.withColumn("perspective", F.explode(people))
 
     def header(t: Column) -> Column:
@@ -91,3 +96,18 @@ def rotate(turns: DataFrame, piece: int = PIECE, rows_per_piece: int = ROWS) ->
         F.array_join(texts, "").alias("rendered"),
         F.array_join(F.array_compact(spans), ",").alias("spans"),
     )
+
+
+def _with_listeners(rows: DataFrame) -> DataFrame:
+    """``rows``, and for conversations of several pieces a row without a turn for each piece and participant.
+
+    These rows come from keys and roles only, so the text is not joined.
+    """
+    keys = rows.select("conv_id", "piece", "part").distinct()
+    several = keys.groupBy(F.col("conv_id").alias("c")).count().where("count > 1").select("c")
+    if not several.head(1):
+        return rows
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    people = rows.where(F.col("t.role") != SYSTEM).select("conv_id", F.col("t.role").alias("listener")).distinct().join(several, same, "left_semi")
+    people = people.select(F.col("conv_id").alias("c"), "listener")
+    return rows.unionByName(keys.join(people, same).select("conv_id", "piece", "part", "listener"), allowMissingColumns=True)

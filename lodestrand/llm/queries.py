@@ -149,4 +149,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"), everyone=True)

@@ -44,3 +44,30 @@ def test_crowded_pieces_are_parted(spark):
 
 def test_empty(spark):
     assert F.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def joined(out):
+    """The rendering of each participant, put together from its pieces, and the turns with loss."""
+    whole = {}
+    for r in sorted(out, key=lambda r: (r.piece, r.part)):
+        text, masked = whole.get((r.conv_id, r.perspective), ("", []))
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        whole[r.conv_id, r.perspective] = (text + r.rendered, masked + [r.rendered[a:b] for a, b in spans])
+    return whole
+
+
+def whole(rows):
+    """The same by brute force, from conversations in one piece."""
+    return {(c, who): (text, [text[int(a) : int(b)] for a, b in (s.split(":") for s in spans.split(",") if s)]) for (c, _, who), (_, _, text, spans) in brute(rows, 10**9).items()}
+
+
+def test_silent_participants_get_every_piece(spark, tmp_path):
+    from lodestrand.llm.queries import QUERIES
+
+    rows = [(1, t, "ann", f"a{t}") for t in range(64)] + [(1, 70, "bob", "late"), (1, 200, "system", "end"), (2, 3, "cat", "alone"), (None, 1, None, "x"), (None, 99, "dan", "y"), (3, 0, "system", "s"), (3, 99, "system", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["op10_chat_format"](spark, str(tmp_path)).collect()
+    assert joined(out) == whole(rows)
+    assert {(r.piece, r.n_masked_in, r.spans) for r in out if r.conv_id == 1 and r.perspective == "bob" and r.piece != 1} == {(0, 0, ""), (3, 0, "")}
+    assert len(out) == len({(r.conv_id, r.piece, r.part, r.perspective) for r in out}) == 2 * 3 + 1 + 2 * 2
