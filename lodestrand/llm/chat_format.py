@@ -14,15 +14,15 @@ turns of a piece; the perspectives are made after that.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import fits, hint_if
+from lodestrand.llm.tables import cut, fits, hint_if, n_partitions
 
 PIECE = 64
-#: Rows that one piece may gather; pieces with more (repeated turn numbers) are parted by a hash of the row.
+#: Rows that one piece may gather; pieces with more (repeated turn numbers) are parted in the order of their turns.
 ROWS = 512
-#: Rows of the table of such pieces that may be broadcast.
+#: Rows of the tables of such pieces, and of their ranges, that may be broadcast.
 BROADCAST_PIECES = 100_000
 SYSTEM = "system"
 #: Markers of a rendering.
@@ -42,8 +42,8 @@ def rotate(turns: DataFrame, piece: int = PIECE, rows_per_piece: int = ROWS, eve
     null role is the participant ``unknown``, a null text is empty, a null turn comes first
     and lies in piece 0. Equal turn numbers are ordered by role, then text; rows equal in
     conv_id, turn, role and text are one turn. A null conv_id is a conversation like any
-    other. part is 0 but for pieces of more than ``rows_per_piece`` rows. An empty table
-    gives an empty table. Other columns are not read.
+    other. Pieces of more than ``rows_per_piece`` turns are parted into so many turns each,
+    numbered in order; else part is 0. An empty table gives an empty table. Other columns are not read.
     """
     rows = turns.select(
         F.col("conv_id"),
@@ -54,11 +54,13 @@ def rotate(turns: DataFrame, piece: int = PIECE, rows_per_piece: int = ROWS, eve
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    large = rows.groupBy(F.col("conv_id").alias("c"), F.col("piece").alias("p")).count().where(F.col("count") > rows_per_piece).select("c", "p", F.ceil(F.col("count") / rows_per_piece).alias("parts"))
-    first = large.head(1)
-    if first:
-        rows = rows.join(hint_if(large, fits(large, BROADCAST_PIECES)), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")), "left")
-        rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("t"), F.col("parts")), F.lit(0)).cast("long")).drop("c", "p", "parts")
+    large = rows.groupBy(F.col("conv_id").alias("c"), F.col("piece").alias("p")).count().where(F.col("count") > rows_per_piece).select("c", "p")
+    crowded = large.head(1)
+    of_large = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p"))
+    if crowded:
+        large = hint_if(large, fits(large, BROADCAST_PIECES))
+        ordered = _parted(rows.join(large, of_large, "left_semi").distinct(), rows_per_piece)
+        rows = rows.join(large, of_large, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(ordered)
     else:
         rows = rows.withColumn("part", F.lit(0).cast("long"))
     rows = rows.withColumn("listener", F.lit(None).cast("string"))
@@ -111,3 +113,21 @@ def _with_listeners(rows: DataFrame) -> DataFrame:
     people = rows.where(F.col("t.role") != SYSTEM).select("conv_id", F.col("t.role").alias("listener")).distinct().join(several, same, "left_semi")
     people = people.select(F.col("conv_id").alias("c"), "listener")
     return rows.unionByName(keys.join(people, same).select("conv_id", "piece", "part", "listener"), allowMissingColumns=True)
+
+
+def _parted(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(conv_id, piece, t)`` without repeats, with the part: their place in the order of t within a piece, divided by ``size``.
+
+    The rows are sorted by ranges, so no task holds a whole piece; a place is that in its
+    range, after the counts of the ranges before.
+    """
+    by = ["conv_id", "piece", "t"]
+    ranged = rows.repartitionByRange(n_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    # The table is cut, as ranges could differ when they are made again.
+    ranged = cut(ranged.select(*by, F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("range")), "chat-ranges")
+    ranges = ranged.groupBy("conv_id", "piece", "range").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id", "piece").orderBy("range")) - F.col("n")
+    ranges = ranges.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), F.col("range").alias("r"), (before - F.col("least")).alias("shift"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("piece") == F.col("p")) & (F.col("range") == F.col("r"))
+    placed = ranged.join(hint_if(ranges, fits(ranges, BROADCAST_PIECES)), same)
+    return placed.select("conv_id", "piece", "t", F.floor((F.col("at") + F.col("shift")) / size).cast("long").alias("part"))

@@ -71,3 +71,17 @@ def test_silent_participants_get_every_piece(spark, tmp_path):
     assert joined(out) == whole(rows)
     assert {(r.piece, r.n_masked_in, r.spans) for r in out if r.conv_id == 1 and r.perspective == "bob" and r.piece != 1} == {(0, 0, ""), (3, 0, "")}
     assert len(out) == len({(r.conv_id, r.piece, r.part, r.perspective) for r in out}) == 2 * 3 + 1 + 2 * 2
+
+
+def test_crowded_pieces_are_parted_in_order(spark):
+    rng = random.Random(3)
+    rows = [(c, rng.choice([None, *range(20)]), rng.choice(["ann", "bob", "system", None]), f"t{rng.randrange(150)}") for c in (1, None) for _ in range(400)]
+    rows += [(1, 5, "late", "once"), (1, 64, "ann", "next piece"), (2, 0, "ann", "small"), *[(4, 0, "ann", "same")] * 100]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = F.rotate(df, rows_per_piece=50, everyone=True).collect()
+    assert joined(out) == whole(rows)
+    turns = len({(c, t, r or "unknown", x) for c, t, r, x in rows if c == 1 and (t or 0) < 64})
+    sizes = {r.part: r.n_turns for r in out if r.conv_id == 1 and r.piece == 0}
+    assert sizes == {i: min(50, turns - 50 * i) for i in range(-(-turns // 50))}
+    assert {r.part for r in out if r.conv_id in (2, 4) or r.piece == 1} == {0}
