@@ -7,10 +7,14 @@ neighbouring labels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Lines of a block of sequences that are trained on at a time.
+CELLS = 300_000
+
 
 @dataclass
 class Crf:
@@ -53,54 +57,74 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(sequences: list[tuple[list[int], int]], features: int, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+def _blocks(sequences: list[tuple[np.ndarray, int]]) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Sequences in runs of at most ``CELLS`` lines, or one sequence, when padded to the first, the longest."""
+    at = 0
+    while at < len(sequences):
+        n = max(1, CELLS // len(sequences[at][0]))
+        yield sequences[at : at + n]
+        at += n
+
+
+def train(sequences: list[tuple[Sequence[int], int]], features: int, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
     """Maximum conditional likelihood by Adam, with an L2 penalty. Each sequence comes with one
     label for all of its lines. The likelihood of a sequence counts as its mean over lines, so
     long texts don't decide alone.
+
+    Every line counts. Sequences are gone through in blocks, so that memory is bounded by
+    ``CELLS`` lines or the longest sequence, besides 4 bytes a line.
     """
-    rng_e, rng_t = np.zeros((features, 2)), np.zeros((2, 2))
-    sequences = [(m, y) for m, y in sequences if m]
-    if not sequences:
-        return Crf(rng_e, rng_t)
-    sequences.sort(key=lambda s: -len(s[0]))
-    n, longest = len(sequences), len(sequences[0][0])
-    lengths = np.array([len(m) for m, _ in sequences])
-    y = np.array([label for _, label in sequences])
-    x = np.zeros((longest, n, features), dtype=np.float32)
-    for i, (masks, _) in enumerate(sequences):
-        m = np.array(masks, dtype=np.int64)
-        x[: len(masks), i] = (m[:, None] >> np.arange(features)) & 1
-    alive = [int((lengths > t).sum()) for t in range(longest)]
-    weight = 1.0 / lengths
+    known = [(np.asarray(m, dtype=np.int32), y) for m, y in sequences if len(m)]
+    if not known:
+        return Crf(np.zeros((features, 2)), np.zeros((2, 2)))
+    known.sort(key=lambda s: -len(s[0]))
+    n = len(known)
+    # A line's scores depend on its mask alone, so there is one row of features for each mask.
+    masks = np.unique(np.concatenate([np.unique(m) for m, _ in known]))
+    x = ((masks[:, None] >> np.arange(features)) & 1).astype(np.float64)
+    blocks = []
+    for block in _blocks(known):
+        lengths = np.array([len(m) for m, _ in block])
+        of = np.zeros((lengths[0], len(block)), dtype=np.int32)
+        for i, (m, _) in enumerate(block):
+            of[: len(m), i] = np.searchsorted(masks, m)
+        blocks.append((of, lengths, np.array([label for _, label in block])))
     theta = np.zeros(features * 2 + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, tr = theta[: features * 2].reshape(features, 2), theta[features * 2 :].reshape(2, 2)
         e = x @ w
-        alpha = np.zeros((longest, n, 2))
-        beta = np.zeros((longest, n, 2))
-        alpha[0] = e[0]
-        for t in range(1, longest):
-            k = alive[t]
-            alpha[t, :k] = _logsum(alpha[t - 1, :k, :, None] + tr[None], 1) + e[t, :k]
-        z = np.array([0.0] * n)
-        last = alpha[lengths - 1, np.arange(n)]
-        z = _logsum(last, 1)
-        for t in range(longest - 2, -1, -1):
-            k = alive[t + 1]
-            beta[t, :k] = _logsum(tr[None] + (e[t + 1, :k] + beta[t + 1, :k])[:, None, :], 2)
-        grad_e, grad_t = np.zeros((features, 2)), np.zeros((2, 2))
-        for t in range(longest):
-            k = alive[t]
-            p = np.exp(alpha[t, :k] + beta[t, :k] - z[:k, None])
-            d = -p * weight[:k, None]
-            d[np.arange(k), y[:k]] += weight[:k]
-            grad_e += x[t, :k].T @ d
-            if t:
-                pair = np.exp(alpha[t - 1, :k, :, None] + tr[None] + (e[t, :k] + beta[t, :k])[:, None, :] - z[:k, None, None])
-                grad_t -= (pair * weight[:k, None, None]).sum(axis=0)
-                np.add.at(grad_t, (y[:k], y[:k]), weight[:k])
-        grad = np.concatenate([grad_e.ravel(), grad_t.ravel()]) / n - ridge * theta
+        grad_m, grad_t = np.zeros((len(masks), 2)), np.zeros((2, 2))
+        for block in blocks:
+            _add_gradient(*block, e, tr, grad_m, grad_t)
+        grad = np.concatenate([(x.T @ grad_m).ravel(), grad_t.ravel()]) / n - ridge * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         theta = theta + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return Crf(theta[: features * 2].reshape(features, 2).copy(), theta[features * 2 :].reshape(2, 2).copy())
+
+
+def _add_gradient(of: np.ndarray, lengths: np.ndarray, y: np.ndarray, scores: np.ndarray, tr: np.ndarray, grad_m: np.ndarray, grad_t: np.ndarray) -> None:
+    """Adds a block's gradient by mask and by pair of labels. ``of`` [line, sequence] is the place of a line's mask."""
+    longest, n = of.shape
+    weight = 1.0 / lengths
+    alive = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()  # sequences longer than t
+    e = scores[of]
+    alpha = np.zeros((longest, n, 2))
+    beta = np.zeros((longest, n, 2))
+    alpha[0] = e[0]
+    for t in range(1, longest):
+        k = alive[t]
+        alpha[t, :k] = _logsum(alpha[t - 1, :k, :, None] + tr[None], 1) + e[t, :k]
+    z = _logsum(alpha[lengths - 1, np.arange(n)], 1)
+    for t in range(longest - 2, -1, -1):
+        k = alive[t + 1]
+        beta[t, :k] = _logsum(tr[None] + (e[t + 1, :k] + beta[t + 1, :k])[:, None, :], 2)
+    for t in range(longest):
+        k = alive[t]
+        d = -np.exp(alpha[t, :k] + beta[t, :k] - z[:k, None]) * weight[:k, None]
+        d[np.arange(k), y[:k]] += weight[:k]
+        np.add.at(grad_m, of[t, :k], d)
+        if t:
+            pair = np.exp(alpha[t - 1, :k, :, None] + tr[None] + (e[t, :k] + beta[t, :k])[:, None, :] - z[:k, None, None])
+            grad_t -= (pair * weight[:k, None, None]).sum(axis=0)
+            np.add.at(grad_t, (y[:k], y[:k]), weight[:k])

@@ -23,8 +23,8 @@ from lodestrand.llm.words import BLANKS, U64, chunks, covered, mix, split, windo
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 CONTENT_SHARE = 0.5
-#: Labelled documents that the field is trained on, at most about this many, and lines of each that count.
-SAMPLE_DOCUMENTS, SAMPLE_LINES = 1500, 200
+#: Labelled documents that the field is trained on, at most about this many.
+SAMPLE_DOCUMENTS = 1500
 
 _NOT_IN_WORDS = BLANKS + bytes(range(0x80, 0xC0))  # blanks, and bytes that begin no code point
 _UPPER, _LETTERS, _DIGITS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), bytes(range(48, 58))
@@ -105,7 +105,7 @@ def _may_repeat(texts: list[bytes], k: int = REPEAT_WINDOW) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> crf.Crf:
-    """The field, from a bounded sample of labelled documents chosen by a hash of doc_id.
+    """The field, from all lines of a bounded sample of labelled documents chosen by a hash of doc_id.
 
     Without labels all weights are 0, and every line is content.
     """
@@ -122,12 +122,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                masks = [lines_of(t)[0][:SAMPLE_LINES] for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality"), pa.array(masks, pa.list_(pa.int32()))], names=["doc_id", "quality", "masks"])
+                # 4 bytes a line, the highest first, so that they sort as the masks do.
+                masks = [np.array(lines_of(t)[0], dtype=">i4").tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality"), pa.array(masks, pa.binary())], names=["doc_id", "quality", "masks"])
 
-    found = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, masks array<int>").collect()
+    found = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, masks binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["quality"], r["masks"]))
-    return crf.train([(list(r["masks"]), r["quality"]) for r in found], FEATURES)
+    return crf.train([(np.frombuffer(r["masks"], dtype=">i4"), r["quality"]) for r in found], FEATURES)
 
 
 def judge(docs: DataFrame, field: crf.Crf) -> DataFrame:

@@ -79,3 +79,23 @@ def test_viterbi_equals_enumeration():
         best = max(itertools.product((0, 1), repeat=len(masks)), key=score)
         assert list(best) == field.decode(masks, {})
     assert field.decode([], {}) == []
+
+
+def test_trained_on_all_lines(spark):
+    """Only beyond line 200 do the texts of either label differ."""
+    rng = random.Random(8)
+    same = [sentence(rng, 12).capitalize() + "." for _ in range(210)]
+    tail = {1: [f"Plain words here {i}." for i in range(300)], 0: [f"### | {i} | $$$" for i in range(300)]}
+    rows = [(i, "\n".join(same + tail[i % 2]), "en", "s") for i in range(20)]
+    field = Q.train(frame(spark, rows), spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int"))
+    good, bad = (field.scores(Q.lines_of("\n".join(["x"] + tail[q] + ["x"]).encode())[0][150]) for q in (1, 0))
+    assert good[1] - good[0] > 0.5 and bad[0] - bad[1] > 0.5
+
+
+def test_blocks_make_no_difference(monkeypatch):
+    rng = np.random.default_rng(4)
+    sequences = [(rng.integers(1, 64, size=n).tolist(), int(n % 2)) for n in (1, 2, 700, 3, 40, 41, 5, 5, 300)]
+    one = crf.train(sequences, 6, steps=20)
+    monkeypatch.setattr(crf, "CELLS", 90)
+    many = crf.train(sequences, 6, steps=20)
+    assert np.allclose(one.emission, many.emission) and np.allclose(one.transition, many.transition)
