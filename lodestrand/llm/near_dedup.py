@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.components import components
-from lodestrand.llm.tables import cut, fits, hint_if
+from lodestrand.llm.tables import cut, fits, hint_if, scratch
 from lodestrand.llm.words import LOWER, TOP, U64, chunks, mix, split, window_hashes, word_hashes
 
 BANDS, BUCKETS, MANTISSA = 32, 5, 10
@@ -41,6 +41,8 @@ LIGHT = 32
 BLOCK_SHINGLES = 1_000_000
 #: Rows of 8-byte ids that may be broadcast (8 MB); with more, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one class that a task compares, on average; a class with more is dealt to several.
+HOT = 256
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -179,8 +181,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("m_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("m_b")), "b")
+    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.
+
+    A class in very many pairs is repeated under several salts, and its pairs are dealt to them.
+    """
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("members").alias(f"m_{x}"))
+    joined = _salted(_salted(pairs, side("a"), "a", "b"), side("b"), "b", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,22 +202,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _salted(pairs: DataFrame, held: DataFrame, on: str, other: str) -> DataFrame:
+    """The join of ``pairs`` with ``held`` on column ``on``; keys of more than ``HOT`` pairs are split by a hash of ``other``."""
+    hot = pairs.groupBy(on).count().where(F.col("count") > HOT).select(on, F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
+    hot = hint_if(hot, fits(hot, BROADCAST_IDS))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+    copies = held.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copies, [on, "salt"]).drop("salt")
+
+
 def heavy_links(at: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components, among the classes of heavy keys ``at(band_key, rep, component)``.
 
     A component with its strays is dealt to blocks by size; a task holds a block of them and a
-    block of the strays.
+    block of the strays. What is joined by component is one row for each component with
+    strays, broadcast if that is small, so a component's classes need not meet in one task.
     """
     counts = at.groupBy("band_key", "component").count()
     largest = counts.groupBy("band_key").agg(F.max(F.struct("count", "component")).alias("m")).select("band_key", F.col("m.component").alias("home"))
     strays = cut(at.join(largest, "band_key").where("component <> home").select("home", "rep").distinct(), "strays")
-    homes = strays.select("home").distinct()
-    members = label.select(F.col("component").alias("home"), F.col("node").alias("rep")).join(homes, "home", "left_semi")
+    homes = cut(strays.select("home").distinct(), "homes")
+    small = fits(homes, BROADCAST_IDS)
+    members = label.select(F.col("component").alias("home"), F.col("node").alias("rep")).join(hint_if(homes, small), "home", "left_semi")
     sized = sets.select("rep", "members", (F.length("members") / 8).alias("n"))
     group = members.withColumn("stray", F.lit(False)).unionByName(strays.withColumn("stray", F.lit(True)))
     held = cut(group.join(sized, "rep").select("home", "stray", "rep", "members", "n"), "groups")
     blocks = held.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("stray"), F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("asked"))
-    placed = held.join(blocks, "home")
+    placed = held.join(hint_if(blocks, small), "home")
     block, turn = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asked")).cast("int")
     targets = placed.select("home", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("turn"), "stray", F.lit(False).alias("asks"), "rep", "members")
     queries = placed.where("stray").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn.alias("turn"), "stray", F.lit(True).alias("asks"), "rep", "members")
@@ -251,33 +269,58 @@ def heavy_links(at: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     return targets.unionByName(queries).groupBy("home", "block", "turn").applyInArrow(compare, "a long, b long")
 
 
+def _same_name(drawn: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame | None:
+    """Links (a, b) between the classes that one doc_id occurs in, each with the least of them; None if there are none."""
+    many = drawn.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id")
+    many = cut(many, "many")
+    if not many.head(1):
+        return None
+    rows = drawn.select("doc_id", *key).join(hint_if(many, fits(many, BROADCAST_IDS)), "doc_id", "left_semi").distinct()
+    named = cut(rows.join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct(), "names")
+    return named.groupBy("doc_id").agg(F.min("rep").alias("a")).join(named, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``.
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``; doc_ids are integers.
 
     Documents are linked if their sets of distinct ``k``-word shingles have
     100 * intersection >= ``percent`` * union; components of these links are groups, and
     component_id is the least doc_id of the group. Words are ``[^\\x20\\x09-\\x0D]+`` after
     A-Z is lower-cased. A text of fewer words is one shingle; a null text, an empty one or
-    one without words has no shingle, n_shingles 0, and is a group of its own. Rows that
-    repeat a doc_id share its component. A null doc_id is linked with nothing: its
-    component_id is null and it is kept. Other columns of ``docs`` are not read. An empty
-    table gives an empty table.
+    one without words has no shingle, n_shingles 0, and is a group of its own, but for rows
+    that repeat a doc_id: they are one document, so what is linked with any of their texts is
+    in one group with all, and they share its component_id. A null doc_id is linked with
+    nothing: its component_id is null and it is kept. Other columns of ``docs`` are not read.
+    An empty table gives an empty table.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, k, percent), "near")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     drawn = cut(sketches(docs, k), "sketches")
     threshold = percent / 100
     named = drawn.where("doc_id is not null and n_shingles > 0")
     key = ["digest_a", "digest_b", "n_shingles"]
     classes = cut(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
-    # A doc_id that occurs with several texts is the rep of several classes; they are one component by their name.
+    # A doc_id that is the rep of several classes makes them one component by its name; other names that occur in several link them.
+    links = _same_name(named, classes, key)
+    links = None if links is None else cut(links, "links")
     keys = band_keys(classes).distinct()
     shared = keys.groupBy("band_key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band_key")
     candidates = cut(keys.join(shared, "band_key"), "candidates")
     reps = cut(candidates.select("rep").distinct(), "reps")
     sets = cut(full_sets(docs, reps, k), "sets")
-    label = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+
+    def labelled(grown: DataFrame | None) -> DataFrame:
+        if grown is None:
+            return reps.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+        return cut(reps.join(grown, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component")), "label")
+
+    grown = None if links is None else components(links)
+    label = labelled(grown)
     tested = None
-    links = None
     for step in ("least", "picked", "rest"):
         at = candidates.join(label, F.col("rep") == F.col("node")).select("band_key", "rep", "component")
         open_keys = at.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band_key", "size")
@@ -297,15 +340,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = confirmed(plausible(pairs, classes, threshold), sets, percent)
+        found = confirmed(cut(plausible(pairs, classes, threshold), "plausible"), sets, percent)
         if step == "rest":
             heavy = at.where(F.col("size") > LIGHT)
             if heavy.head(1):
                 found = found.unionByName(heavy_links(heavy, label, sets, percent))
         links = cut(found if links is None else links.unionByName(found), "links")
         grown = components(links)
-        label = cut(reps.join(grown, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component")), "label")
-    of_class = classes.select(*key, "rep").join(label.where("component <> node"), F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+        label = labelled(grown)
+    of_class = classes.select(*key, "rep")
+    if grown is None:
+        of_class = of_class.select(*key, F.col("rep").alias("component_id"))
+    else:
+        of_class = of_class.join(grown.where("component <> node"), F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     rows = drawn.select("doc_id", *key).join(of_class, key, "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).alias("component_id"))
+    # A row without shingles takes the component of the other rows of its doc_id.
+    bare = drawn.where("doc_id is not null and n_shingles = 0").select(F.col("doc_id").alias("d")).distinct()
+    others = found.where("component_id is not null").join(hint_if(bare, fits(bare, BROADCAST_IDS)), F.col("doc_id") == F.col("d"), "left_semi").groupBy(F.col("doc_id").alias("d")).agg(F.min("component_id").alias("of_name"))
+    found = found.join(hint_if(others, fits(others, BROADCAST_IDS)), (F.col("doc_id") == F.col("d")) & F.col("component_id").isNull(), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "of_name", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

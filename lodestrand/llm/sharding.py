@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import cut
+from lodestrand.llm.tables import cut, fits, hint_if, table_path
 
 
 @dataclass(frozen=True)
@@ -120,6 +120,36 @@ def assign(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: Rows of the table of files (some 200 bytes each) that may be broadcast; with more, the join is shuffled.
+BROADCAST_FILES = 100_000
+
+
+def place(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` (columns of these names are replaced), by law ``key``.
+
+    The rows are written once, to a folder for each shard, without a shuffle. A row's slot is its
+    place in its file, behind the rows of the shard's files that come before by name. So
+    slots are gapless from 0 however often a row repeats, no task sorts or holds a shard, and
+    what is numbered is one row for each file. Which row of a shard gets which slot follows
+    the files. Repeated doc_ids share a shard; a null doc_id is one key. An empty table gives an
+    empty table.
+    """
+    spark = docs.sparkSession
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
+    rows = held.select("*", shard_of(F.col("doc_id"), balanced(n_shards)).alias("shard"))
+    path = table_path(spark, "shards")
+    rows.write.partitionBy("shard").parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    file = F.col("_metadata.file_path")
+    counts = written.groupBy("shard", file.alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    # The row is one column, so that its names cannot clash with those used here.
+    packed = written.select(F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("row"), "shard", file.alias("file"), F.col("_metadata.row_index").alias("at"))
+    placed = packed.join(hint_if(starts, fits(starts, BROADCAST_FILES)), "file")
+    return placed.select("row.*", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, rows_per_file: int = 1_000_000) -> None:
     """Write ``docs`` to one folder ``shard=N`` for each shard, with files of at most ``rows_per_file`` rows."""
     placed = docs.withColumn("shard", shard_of(F.col("doc_id"), balanced(n_shards)))

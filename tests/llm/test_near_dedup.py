@@ -81,3 +81,20 @@ def test_registers_and_estimate():
         assert abs(got - true) < 0.15
     least = np.array([0, 1, 2**63, 2**64 - 2, 2**64 - 1], dtype=np.uint64)
     assert N.compress(least)[4] == 0 and (N.compress(least)[:4] > 0).all()
+
+
+def test_repeated_ids_join_their_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c), (9, None), (1, None), (6, ""), (6, sentence(rng, 70))]
+    out = N.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]), 2).collect()
+    got = {(r.doc_id, r.component_id, r.kept) for r in out}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 8, False), (1, 1, True), (6, 6, True)}
+    assert len(out) == len(rows)
+
+
+def test_hot_classes_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 2)
+    rows = near_copies(random.Random(4))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == brute(rows, 2)

@@ -79,3 +79,16 @@ def test_odd_rows_and_files(spark, odd, odd_rows, empty, tmp_path):
     H.write_shards(odd, f"file://{tmp_path}/shards")
     back = spark.read.parquet(f"file://{tmp_path}/shards")
     assert back.count() == len(odd_rows)
+
+
+def test_placed_rows(spark, odd, odd_rows, empty):
+    many = odd.unionByName(odd).unionByName(odd.where("doc_id = 2")).withColumnRenamed("row_id", "file").withColumnRenamed("part", "row").repartition(5)
+    out = H.place(many)
+    assert out.columns == [c for c in many.columns if c != "shard"] + ["shard", "slot"]
+    assert Counter(tuple(r[c] for c in many.columns if c != "shard") for r in out.collect()) == Counter(tuple(r[c] for c in many.columns if c != "shard") for r in many.collect())
+    for r in out.collect():
+        assert r.shard == descend("\0null" if r.doc_id is None else str(r.doc_id), H.balanced(8))
+    for s in range(8):
+        mine = sorted(r.slot for r in out.where(out["shard"] == s).collect())
+        assert mine == list(range(len(mine)))
+    assert H.place(empty).collect() == []
