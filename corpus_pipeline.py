@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontamination, language_id, mixing, near_dedup, sharding
-from lodestrand.llm.tables import cut, documents, fits, hint_if
+from lodestrand.llm.tables import cut, documents, fits, hint_if, scratch
 from lodestrand.session import ship
 
 #: Language confidence below which a document is rejected.
@@ -33,10 +33,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id.
 
-    Rows that repeat a kept doc_id are copies of one document too: the one with the least text stays.
+    Rows that repeat a doc_id are one document, whose texts are all of its group: the row with
+    the least text stays.
     """
     ship(spark)
-    found = cut(near_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("doc_id is not null"), "near")
+    found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("doc_id is not null")
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(hint_if(gone, fits(gone, BROADCAST_IDS)), "doc_id", "left_anti").select(*docs.columns)
     twice = cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
@@ -64,8 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with shard and slot; copies of a document share its shard."""
     ship(spark)
-    placed = docs.withColumn("shard", sharding.shard_of(F.col("doc_id"), sharding.balanced(SHARDS)))
-    return sharding.with_slots(placed, "shard", ["doc_id", "source"]).select(*docs.columns, "shard", "slot")
+    return sharding.place(docs, SHARDS).select(*docs.columns, "shard", "slot")
 
 
 STAGES = [
@@ -82,6 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.split()[0])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir), name.split()[0])
+        name, stage = STAGES[-1]
+        return keep(stage(spark, docs, sf_dir), name)
