@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import cut
+from lodestrand.llm.tables import cut, measured
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,21 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     round is one written table; no edge or label comes to the driver, which learns only
     whether anything changed. No edges give no rows. Edges with a null end are ignored.
     """
-    both = cut(
-        edges.where("a is not null and b is not null and a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
+    ends = edges.where("a is not null and b is not null and a <> b")
+    both = cut(ends.select("a", "b").unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
-        lower = labels.select("node", "component").unionByName(near).groupBy("node").agg(F.min("component").alias("component"))
+        # A node's own label takes part, so the least one and the former come from one aggregate.
+        own = labels.select("node", "component", F.col("component").alias("was"))
+        lower = own.unionByName(near.withColumn("was", F.lit(None).cast(dict(labels.dtypes)["component"]))).groupBy("node").agg(F.min("component").alias("component"), F.min("was").alias("was"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        before = labels.select("node", F.col("component").alias("was"))
-        after = cut(
-            lower.join(jump, "component", "left").join(before, "node").select("node", F.least("component", "further").alias("component"), "was"),
-            "labels",
-        )
-        changed = bool(after.where("component <> was").head(1))
+        after, counts = measured(lower.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was"), "labels", changed=F.col("component") < F.col("was"))
         labels = after.select("node", "component")
-        if not changed:
+        if not counts["changed"]:
             return labels

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.components import components
-from lodestrand.llm.tables import cut, fits, hint_if, scratch
+from lodestrand.llm.tables import cut, hint_if, measured, scratch
 from lodestrand.llm.words import LOWER, TOP, U64, chunks, mix, split, window_hashes, word_hashes
 
 BANDS, BUCKETS, MANTISSA = 32, 5, 10
@@ -166,9 +166,9 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, small: bool, k: int) -> DataFrame:
     """(rep, members: the shingle set as bytes) of the classes named in ``ids(rep)``."""
-    wanted = docs.select("doc_id", "text").join(hint_if(ids.select(F.col("rep").alias("doc_id")), fits(ids, BROADCAST_IDS)), "doc_id", "left_semi")
+    wanted = docs.select("doc_id", "text").join(hint_if(ids.select(F.col("rep").alias("doc_id")), small), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,13 +180,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return wanted.mapInArrow(run, "rep long, members binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets.
-
-    A class in very many pairs is repeated under several salts, and its pairs are dealt to them.
-    """
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("members").alias(f"m_{x}"))
-    joined = _salted(_salted(pairs, side("a"), "a", "b"), side("b"), "b", "a")
+    joined = pairs.join(side("a"), ["a"]).join(side("b"), ["b"])
+    if hot is not None:
+        joined = _salted(_salted(pairs, side("a"), "a", "b", hot), side("b"), "b", "a", hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,11 +201,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _salted(pairs: DataFrame, held: DataFrame, on: str, other: str) -> DataFrame:
-    """The join of ``pairs`` with ``held`` on column ``on``; keys of more than ``HOT`` pairs are split by a hash of ``other``."""
-    hot = pairs.groupBy(on).count().where(F.col("count") > HOT).select(on, F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
-    hot = hint_if(hot, fits(hot, BROADCAST_IDS))
-    salts = F.coalesce("salts", F.lit(1))
+def hot_ends(pairs: DataFrame) -> DataFrame | None:
+    """(rep, salts) of the classes in more than ``HOT`` of ``pairs(a, b)``; None if there are none."""
+    ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b"))
+    hot, counts = measured(ends.groupBy("rep").count().where(F.col("count") > HOT).select("rep", F.ceil(F.col("count") / HOT).cast("int").alias("salts")), "hot")
+    return hint_if(hot, counts["rows"] <= BROADCAST_IDS) if counts["rows"] else None
+
+
+def _salted(pairs: DataFrame, held: DataFrame, on: str, other: str, hot: DataFrame) -> DataFrame:
+    """The join of ``pairs`` with ``held`` on column ``on``; a hot class is repeated under several salts, and its pairs are dealt to them."""
+    hot, salts = hot.withColumnRenamed("rep", on), F.coalesce("salts", F.lit(1))
     dealt = pairs.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
     copies = held.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return dealt.join(copies, [on, "salt"]).drop("salt")
@@ -222,8 +226,8 @@ def heavy_links(at: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     counts = at.groupBy("band_key", "component").count()
     largest = counts.groupBy("band_key").agg(F.max(F.struct("count", "component")).alias("m")).select("band_key", F.col("m.component").alias("home"))
     strays = cut(at.join(largest, "band_key").where("component <> home").select("home", "rep").distinct(), "strays")
-    homes = cut(strays.select("home").distinct(), "homes")
-    small = fits(homes, BROADCAST_IDS)
+    homes, counts = measured(strays.select("home").distinct(), "homes")
+    small = counts["rows"] <= BROADCAST_IDS
     members = label.select(F.col("component").alias("home"), F.col("node").alias("rep")).join(hint_if(homes, small), "home", "left_semi")
     sized = sets.select("rep", "members", (F.length("members") / 8).alias("n"))
     group = members.withColumn("stray", F.lit(False)).unionByName(strays.withColumn("stray", F.lit(True)))
@@ -269,13 +273,16 @@ def heavy_links(at: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     return targets.unionByName(queries).groupBy("home", "block", "turn").applyInArrow(compare, "a long, b long")
 
 
-def _same_name(drawn: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame | None:
-    """Links (a, b) between the classes that one doc_id occurs in, each with the least of them; None if there are none."""
-    many = drawn.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id")
-    many = cut(many, "many")
-    if not many.head(1):
-        return None
-    rows = drawn.select("doc_id", *key).join(hint_if(many, fits(many, BROADCAST_IDS)), "doc_id", "left_semi").distinct()
+def _repeated(drawn: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
+    """The doc_ids that occur with different texts, and their number."""
+    many = drawn.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id")
+    many, counts = measured(many, "many")
+    return hint_if(many, counts["rows"] <= BROADCAST_IDS), counts["rows"]
+
+
+def _same_name(drawn: DataFrame, many: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Links (a, b) between the classes that one of the doc_ids ``many`` occurs in, each with the least of them."""
+    rows = drawn.where("n_shingles > 0").select("doc_id", *key).join(many, "doc_id", "left_semi").distinct()
     named = cut(rows.join(classes.select(*key, "rep"), key).select("doc_id", "rep").distinct(), "names")
     return named.groupBy("doc_id").agg(F.min("rep").alias("a")).join(named, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
 
@@ -305,18 +312,18 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     key = ["digest_a", "digest_b", "n_shingles"]
     classes = cut(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
     # A doc_id that is the rep of several classes makes them one component by its name; other names that occur in several link them.
-    links = _same_name(named, classes, key)
-    links = None if links is None else cut(links, "links")
+    many, n_many = _repeated(drawn, key)
+    links = cut(_same_name(drawn, many, classes, key), "links") if n_many else None
     keys = band_keys(classes).distinct()
     shared = keys.groupBy("band_key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band_key")
     candidates = cut(keys.join(shared, "band_key"), "candidates")
-    reps = cut(candidates.select("rep").distinct(), "reps")
-    sets = cut(full_sets(docs, reps, k), "sets")
+    reps, counts = measured(candidates.select("rep").distinct(), "reps")
+    sets = cut(full_sets(docs, reps, counts["rows"] <= BROADCAST_IDS, k), "sets")
 
     def labelled(grown: DataFrame | None) -> DataFrame:
         if grown is None:
             return reps.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-        return cut(reps.join(grown, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component")), "label")
+        return reps.join(grown, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), F.coalesce("component", "rep").alias("component"))
 
     grown = None if links is None else components(links)
     label = labelled(grown)
@@ -324,8 +331,8 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     for step in ("least", "picked", "rest"):
         at = candidates.join(label, F.col("rep") == F.col("node")).select("band_key", "rep", "component")
         open_keys = at.groupBy("band_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("band_key", "size")
-        at = cut(at.join(open_keys, "band_key"), "open")
-        if not at.head(1):
+        at, counts = measured(at.join(open_keys, "band_key"), "open", heavy=F.col("size") > LIGHT)
+        if not counts["rows"]:
             break
         if step == "rest":
             light = at.where(F.col("size") <= LIGHT)
@@ -340,11 +347,9 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = confirmed(cut(plausible(pairs, classes, threshold), "plausible"), sets, percent)
-        if step == "rest":
-            heavy = at.where(F.col("size") > LIGHT)
-            if heavy.head(1):
-                found = found.unionByName(heavy_links(heavy, label, sets, percent))
+        found = confirmed(plausible(pairs, classes, threshold), sets, percent, hot_ends(pairs))
+        if step == "rest" and counts["heavy"]:
+            found = found.unionByName(heavy_links(at.where(F.col("size") > LIGHT), label, sets, percent))
         links = cut(found if links is None else links.unionByName(found), "links")
         grown = components(links)
         label = labelled(grown)
@@ -355,8 +360,9 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
         of_class = of_class.join(grown.where("component <> node"), F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     rows = drawn.select("doc_id", *key).join(of_class, key, "left")
     found = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).alias("component_id"))
-    # A row without shingles takes the component of the other rows of its doc_id.
-    bare = drawn.where("doc_id is not null and n_shingles = 0").select(F.col("doc_id").alias("d")).distinct()
-    others = found.where("component_id is not null").join(hint_if(bare, fits(bare, BROADCAST_IDS)), F.col("doc_id") == F.col("d"), "left_semi").groupBy(F.col("doc_id").alias("d")).agg(F.min("component_id").alias("of_name"))
-    found = found.join(hint_if(others, fits(others, BROADCAST_IDS)), (F.col("doc_id") == F.col("d")) & F.col("component_id").isNull(), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "of_name", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if n_many:  # a row without shingles takes the component of the other rows of its doc_id
+        others = found.where("component_id is not null").join(many, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("d")).agg(F.min("component_id").alias("of_name"))
+        found = found.join(others, (F.col("doc_id") == F.col("d")) & F.col("component_id").isNull(), "left")
+        found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "of_name").alias("component_id"))
+    found = found.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import cut, fits, hint_if, table_path
+from lodestrand.llm.tables import cut, hint_if, measured, table_path
 
 
 @dataclass(frozen=True)
@@ -143,10 +143,10 @@ def place(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     file = F.col("_metadata.file_path")
     counts = written.groupBy("shard", file.alias("file")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    starts, files = measured(counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
     # The row is one column, so that its names cannot clash with those used here.
     packed = written.select(F.struct(*[F.col(f"`{c}`") for c in held.columns]).alias("row"), "shard", file.alias("file"), F.col("_metadata.row_index").alias("at"))
-    placed = packed.join(hint_if(starts, fits(starts, BROADCAST_FILES)), "file")
+    placed = packed.join(hint_if(starts, files["rows"] <= BROADCAST_FILES), "file")
     return placed.select("row.*", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
 
 

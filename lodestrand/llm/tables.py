@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
@@ -55,6 +55,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, tag: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut``, with the number of rows as ``rows``, and of those where each of ``counted`` holds, in one pass over the table."""
+    out = cut(df, tag)
+    return out, out.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(name) for name, c in counted.items()]).head().asDict()
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark._jvm
     for path in paths:
