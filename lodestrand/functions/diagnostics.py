@@ -5,15 +5,14 @@ from __future__ import annotations
 import ast
 import re
 import shlex
-from html.parser import HTMLParser
-from urllib.parse import parse_qs, unquote, urlparse
+from collections import Counter
+from collections.abc import Iterator
+from html import unescape
+from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Line formats. Groups by position, as Spark reads them.
-TSC = r"^([^\s(].*?)\((\d+),(\d+)\):\s+error\s+(TS\d+):\s+(.*)$"
-MYPY = r"^([^:]+):(\d+):(?:(\d+):)?\s+(error|note):\s+(.*?)\s*(?:\[([\w-]+)\])?$"
 FINDING = "linter, rule_id, file, line, column, message"
 RUFF = "array<struct<code:string,filename:string,message:string,location:struct<row:int,column:int>>>"
 ESLINT = "array<struct<filePath:string,messages:array<struct<ruleId:string,line:int,column:int,message:string>>>>"
@@ -37,16 +36,29 @@ def eslint(reports: DataFrame) -> DataFrame:
     return items.select("report_id", F.coalesce(F.nullif("x.ruleId", F.lit("")), F.lit("unknown")).alias("rule_id"), "file", "x.line", "x.column", F.coalesce("x.message", F.lit("")).alias("message"))
 
 
+def _split_at(mark: str) -> tuple[Column, Column]:
+    """What a line has before and after the first ``mark``; the latter is null where there is none."""
+    parts = F.split("value", re.escape(mark), 2)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
 def tsc(reports: DataFrame) -> DataFrame:
-    """(report_id, n, file, line, code, summary) of lines ``file(line,col): error TSn: message``."""
-    g = lambda i: F.regexp_extract("value", TSC, i)
-    return _lines(reports).where(F.col("value").rlike(TSC)).select("report_id", "n", g(1).alias("file"), g(2).cast("int").alias("line"), g(4).alias("code"), F.trim(g(5)).alias("summary"))
+    """(report_id, n, file, line, code, summary) of lines ``file(line,column): error TSn: message``."""
+    place, said = _split_at("): error ")
+    spot = F.split(F.substring_index(place, "(", -1), ",")
+    file, code = F.left(place, F.length(place) - F.length(F.array_join(spot, ",")) - 1), F.substring_index(said, ":", 1)
+    number = lambda i: F.get(spot, F.lit(i)).try_cast("int")
+    sound = said.isNotNull() & (F.size(spot) == 2) & number(0).isNotNull() & number(1).isNotNull() & code.rlike("^TS[0-9]+$") & file.rlike("^[^ \t(]")
+    return _lines(reports).where(sound).select("report_id", "n", file.alias("file"), number(0).alias("line"), code.alias("code"), F.trim(F.right(said, F.length(said) - F.length(code) - 1)).alias("summary"))
 
 
 def mypy(reports: DataFrame) -> DataFrame:
-    """(report_id, n, file, line, code, summary) of error lines; notes are dropped, a missing code is null."""
-    g = lambda i: F.regexp_extract("value", MYPY, i)
-    return _lines(reports).where(F.col("value").rlike(MYPY) & (g(4) == "error")).select("report_id", "n", g(1).alias("file"), g(2).cast("int").alias("line"), F.nullif(g(6), F.lit("")).alias("code"), F.trim(g(5)).alias("summary"))
+    """(report_id, n, file, line, code, summary) of lines ``file:line[:column]: error: message  [code]``; notes are dropped, a missing code is null."""
+    place, said = _split_at(": error: ")
+    spot, tail = F.split(place, ":"), r"\s*\[([A-Za-z0-9_-]+)\]\s*$"
+    numbers = F.slice(spot, 2, 2)
+    sound = said.isNotNull() & F.size(spot).between(2, 3) & (spot[0] != "") & F.forall(numbers, lambda x: x.rlike("^[0-9]+$"))
+    return _lines(reports).where(sound).select("report_id", "n", spot[0].alias("file"), F.get(spot, F.lit(1)).try_cast("int").alias("line"), F.nullif(F.regexp_extract(said, tail, 1), F.lit("")).alias("code"), F.trim(F.regexp_replace(said, tail, "")).alias("summary"))
 
 
 def cargo(reports: DataFrame) -> DataFrame:
@@ -94,111 +106,110 @@ def test_failures(reports: DataFrame) -> DataFrame:
     )
 
 
-class PageText(HTMLParser):
-    """Title and visible text of a page; scripts, styles and noscript parts are left out."""
-
-    HIDDEN = ("script", "style", "noscript")
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.title, self.parts = "", []
-        self._hidden, self._titled = 0, False
-
-    def handle_starttag(self, tag, attrs):
-        self._hidden += tag in self.HIDDEN
-        self._titled |= tag == "title"
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self._hidden = max(0, self._hidden - 1)
-        elif tag == "title":
-            self._titled = False
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if text and self._titled:
-            self.title = f"{self.title} {text}".strip()
-        elif text and not self._hidden:
-            self.parts.append(text)
+#: Comments, declarations, and tags with their attributes.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: Elements whose inside holds no tags but their own end.
+_RAW = ("script", "style")
+HIDDEN = ("script", "style", "noscript")
+
+
+def page_texts(html: str) -> Iterator[tuple[str, Counter]]:
+    """The texts between a page's tags, blanks collapsed, each with the number of open elements by tag."""
+    around: Counter = Counter()
+    at = 0
+    while at <= len(html):
+        found = _MARKUP.search(html, at)
+        text = " ".join(unescape(html[at : found.start() if found else len(html)]).split())
+        if text:
+            yield text, around
+        if not found:
+            return
+        at, tag = found.end(), (found["tag"] or "").lower()
+        if found["end"]:
+            around[tag] = max(0, around[tag] - 1)
+        elif tag:
+            around[tag] += 1
+            if tag in _RAW:
+                close = re.compile(rf"</{tag}\b", re.IGNORECASE).search(html, at)
+                at = close.start() if close else len(html)
 
 
 def page_text(html: str, most: int = 24_000) -> tuple[str, str]:
-    """(title, text) with at most ``most`` characters of text."""
-    parser = PageText()
-    parser.feed(html)
-    return parser.title, "\n".join(parser.parts)[:most]
-
-
-class ResultLinks(HTMLParser):
-    """Links of a result page whose address carries the target in ``uddg``; the first title of a URL stays."""
+    """(title, visible text) of a page: a line for each text outside scripts, styles and noscript parts, at most ``most`` characters."""
+    shown: dict[bool, list[str]] = {True: [], False: []}
+    for text, around in page_texts(html):
+        titled = around["title"] > 0
+        if titled or not any(around[tag] for tag in HIDDEN):
+            shown[titled].append(text)
+    return " ".join(shown[True]), "\n".join(shown[False])[:most]
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.found: dict[str, str] = {}
-        self._url: str | None = None
-        self._title: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
-        target = parse_qs(urlparse(dict(attrs).get("href") or "").query).get("uddg", [""])[0] if tag == "a" else ""
-        if target:
-            self._url, self._title = unquote(target), []
-
-    def handle_data(self, data):
-        if self._url is not None:
-            self._title.append(data)
-
-    def handle_endtag(self, tag):
-        if tag == "a" and self._url is not None:
-            title = " ".join("".join(self._title).split())
-            if title:
-                self.found.setdefault(self._url, title)
-            self._url = None
+#: An anchor's attributes and what stands up to its end or the next anchor; and the address among the attributes.
+_ANCHOR = re.compile(r"""<a\b((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)(?=</a\b|<a\b|\Z)""", re.DOTALL | re.IGNORECASE)
+_ADDRESS = re.compile(r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 
 
 def result_links(html: str, most: int = 10) -> list[tuple[str, str]]:
-    parser = ResultLinks()
-    parser.feed(html)
-    return list(parser.found.items())[:most]
-
-
-#: Commands whose second word belongs to the prefix.
+    """The first ``most`` (url, title) of links whose address carries its target as ``uddg``; of a URL's titles the first that is not blank."""
+    titles: dict[str, str] = {}
+    for attributes, inside in _ANCHOR.findall(html):
+        address = _ADDRESS.search(attributes)
+        query = parse_qs(urlsplit(unescape(address[1].strip("\"'"))).query) if address else {}
+        title = " ".join(unescape(_MARKUP.sub("", inside)).split())
+        if title and query.get("uddg"):
+            titles.setdefault(unquote(query["uddg"][0]), title)
+    return list(titles.items())[:most]
+
+
+#: Commands whose second word belongs to the prefix; commands that list files, and that read them; options of grep with an argument, and those of them that give the pattern.
 TWO_WORDS = ("git", "npm", "docker", "kubectl", "cargo", "go", "pip", "yarn")
-_ASSIGNMENT = re.compile(r"^[A-Za-z_]\w*=")
-#: Commands that list, and that read, files.
 LISTING = ("ls", "dir", "find", "tree", "pwd", "cd", "mkdir", "rmdir", "rm")
 READING = ("cat", "head", "tail", "less", "more", "bat", "type")
+GREP_ARGUMENT, GREP_PATTERN = ("-e", "-f", "-m", "-A", "-B", "-C"), ("-e", "-f")
+_ASSIGNMENT = re.compile(r"[A-Za-z_]\w*=", re.ASCII)
+
+
+def _command(command: str) -> tuple[list[str], list[str], bool]:
+    """(leading assignments, words behind them, whether its quotes are closed); words keep their quotes."""
+    try:
+        words, closed = shlex.split(command, posix=False), True
+    except ValueError:
+        words, closed = command.split(), False
+    n = next((i for i, w in enumerate(words) if not _ASSIGNMENT.match(w)), len(words))
+    return words[:n], words[n:], closed
 
 
 def command_prefix(command: str) -> str:
-    """The part of a shell command that names what runs; ``command_injection_detected`` for substitutions, ``none`` for nothing."""
+    """What a shell command runs: a word, or two of some tools; ``command_injection_detected`` for substitutions, ``none`` for nothing.
+
+    Assignments stand before it unless the tool is one of ``TWO_WORDS`` with a second word.
+    """
     if "`" in command or "$(" in command:
         return "command_injection_detected"
-    try:
-        words = shlex.split(command)
-    except ValueError:
-        words = command.split()
-    skipped = [w for w in words[: next((i for i, w in enumerate(words) if not _ASSIGNMENT.match(w)), len(words))]]
-    rest = words[len(skipped) :]
-    if not rest:
+    assigned, words, closed = _command(command)
+    if not words:
         return "none"
-    two = rest[0] in TWO_WORDS and len(rest) > 1 and not rest[1].startswith("-")
-    return " ".join([*skipped, *rest[: 2 if two else 1]])
+    if closed and words[0] in TWO_WORDS and len(words) > 1:
+        return words[0] if words[1].startswith("-") else " ".join(words[:2])
+    return " ".join([*assigned, words[0]] if closed else words[:1])
 
 
 def command_paths(command: str) -> list[str]:
-    """Files that a command reads: the arguments of reading commands and of grep after its pattern; none of listing commands."""
-    try:
-        words = [w for w in shlex.split(command, posix=False)]
-    except ValueError:
-        words = command.split()
-    while words and _ASSIGNMENT.match(words[0]):
-        words = words[1:]
-    if not words or words[0] in LISTING:
+    """Files that a command reads, as written: the arguments of reading commands, and of grep those that are no pattern; none of others, or if a quote is not closed."""
+    _, words, closed = _command(command)
+    name = re.split(r"[/\\]", words[0])[-1].lower() if words and closed else ""
+    if name in READING:
+        return [w for w in words[1:] if not w.startswith("-")]
+    if name != "grep":
         return []
-    plain = [w.strip("'\"") for w in words[1:] if not w.startswith("-")]
-    if words[0] in READING:
-        return plain
-    return plain[1:] if words[0] in ("grep", "egrep", "fgrep", "rg") else []
+    taken = [before in GREP_ARGUMENT for before in words[:-1]]
+    # An option's argument is no option itself, so the one behind it is free again.
+    for i in range(1, len(taken)):
+        taken[i] = taken[i] and not taken[i - 1]
+    rest = [(w, t) for w, t in zip(words[1:], taken)]
+    plain = [w for w, t in rest if not t and not w.startswith("-")]
+    given = any(w in GREP_PATTERN and not t for w, t in rest)
+    return plain if given else plain[1:]
 
 
 def python_imports(source: str) -> list[tuple[str, int, bool]]:

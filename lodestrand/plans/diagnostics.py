@@ -96,11 +96,17 @@ def result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.alias("html")).mapInPandas(run, "page_id long, place int, url string, title string")
 
 
-@register("f13_commands", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'git status' WHEN 1 THEN 'A=1 npm run' WHEN 2 THEN 'command_injection_detected' WHEN 3 THEN 'cat' ELSE 'none' END AS prefix, CASE p_partkey % 5 WHEN 3 THEN p_brand || '.txt' ELSE '' END AS paths FROM part")
+@register(
+    "f13_commands",
+    """
+    SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'git status' WHEN 1 THEN 'npm run' WHEN 2 THEN 'command_injection_detected' WHEN 3 THEN 'cat' WHEN 4 THEN 'none' WHEN 5 THEN '/bin/CAT' WHEN 6 THEN 'B=' || p_size::VARCHAR || ' grep' WHEN 7 THEN 'git' ELSE 'echo' END AS prefix,
+           CASE p_partkey % 9 WHEN 3 THEN p_brand || '.txt' WHEN 5 THEN '"a ' || p_brand || '",b' WHEN 6 THEN 'd/' || p_brand ELSE '' END AS paths FROM part
+    """,
+)
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prefixes and files of shell commands."""
-    k = F.col("p_partkey") % 5
-    command = F.when(k == 0, "git status -s").when(k == 1, "A=1 npm run build").when(k == 2, "echo $(id)").when(k == 3, F.concat(F.lit("cat -n "), F.col("p_brand"), F.lit(".txt"))).otherwise("")
+    """Prefixes and files of shell commands; words keep their quotes."""
+    shapes = ["'git status -s'", "'A=1 npm run build'", "'echo $(id)'", "'cat -n ' || p_brand || '.txt'", "''", """'/bin/CAT "a ' || p_brand || '" -n b'""", "'B=' || CAST(p_size AS STRING) || ' grep -m 3 -e x d/' || p_brand", "'git -C x log'", "'echo \"open ' || p_brand"]
+    command = F.expr("CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {shape}" for i, shape in enumerate(shapes)) + " END")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

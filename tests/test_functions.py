@@ -150,8 +150,13 @@ def test_pages_and_commands():
     html = "<title>T <b>x</b></title><script>no</script><p>Hello\n  you</p><style>p{}</style><noscript>n</noscript> end"
     assert D.page_text(html) == ("T x", "Hello you\nend")
     assert D.page_text("<p>" + "a" * 30, 5)[1] == "aaaaa"
-    assert D.command_prefix("FOO=1 git commit -m x") == "FOO=1 git commit" and D.command_prefix("ls -l") == "ls" and D.command_prefix("a `b`") == "command_injection_detected" and D.command_prefix("") == "none"
-    assert D.command_paths("grep -n pat a.py 'b.py'") == ["a.py", "b.py"] and D.command_paths("ls x") == []
+    assert D.page_text("<!-- <p>no</p> -->a&amp;b<br>c<script>if (a < b) '<p>'</script>d<noscript><p>n</p></noscript>") == ("", "a&b\nc\nd")
+    links = '<A class="x" HREF="/l/?uddg=https%3A%2F%2Fe.org%2F%3Fa%3D1&amp;rut=2">One <b>t</b></A><a href=/l/?uddg=u></a><a href="/l/?uddg=u">late</a><a>none</a><a href="/l/?uddg=u">again</a>'
+    assert D.result_links(links) == [("https://e.org/?a=1", "One t"), ("u", "late")] and D.result_links(links, 1) == [("https://e.org/?a=1", "One t")]
+    assert D.command_prefix("FOO=1 git commit -m x") == "git commit" and D.command_prefix("FOO=1 make all") == "FOO=1 make" and D.command_prefix("git -C x log") == "git" and D.command_prefix("A=1 'x") == "'x"
+    assert D.command_paths("/bin/Cat -n \"a b\" c") == ['"a b"', "c"] and D.command_paths("grep -e -f x.py y.py") == ["x.py", "y.py"] and D.command_paths("grep -m 2 p x") == ["x"] and D.command_paths("cat 'x") == []
+    assert D.command_prefix("ls -l") == "ls" and D.command_prefix("a `b`") == "command_injection_detected" and D.command_prefix("") == "none"
+    assert D.command_paths("grep -n pat a.py 'b.py'") == ["a.py", "'b.py'"] and D.command_paths("ls x") == []
 
 
 def test_python_sources():
