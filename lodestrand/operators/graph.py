@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import edge_multiplier
+from lodestrand.sources.tables import written
 
 DAMPING = 0.85
 
@@ -31,10 +32,9 @@ def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6
     Power iteration with damping 0.85; the mass of nodes without outgoing weight is spread
     evenly. Stops after ``rounds``, or when the scores of N nodes moved by less than
     ``tolerance`` * N together (None: never). ``keep`` cuts the lineage of a round's scores; by
-    default it is ``checkpoint`` if a checkpoint folder is set, else a persisted copy with its lineage.
+    default they are written to a table.
     """
-    spark = edges.sparkSession
-    cut = keep or (lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist())
+    cut = keep or (lambda df: written(df, "rank"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(out.select(F.col("src").alias("node"), F.lit(True).alias("goes")), "node", "left"))
@@ -86,8 +86,7 @@ def pagerank_hubs(refs: DataFrame, defs: DataFrame, rounds: int = 100, tolerance
     A round sends each file's share to its hubs and from there to the files that define them,
     so the edges themselves are never made.
     """
-    spark = refs.sparkSession
-    cut = keep or (lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist())
+    cut = keep or (lambda df: written(df, "rank"))
     defs = cut(defs)
     size = defs.groupBy("hub").agg(F.sum("factor").alias("size"))
     sized = refs.join(size, "hub")
@@ -127,22 +126,51 @@ def by_mass(ranked: DataFrame, target: float, most: int) -> DataFrame:
     return held.where((F.col("total") == 0) | (F.col("before") < target * F.col("total")) | (F.col("before") == 0)).select("node", "score")
 
 
-def descendants(spark: SparkSession, nodes: DataFrame, roots: DataFrame, only: str | None = None) -> DataFrame:
-    """(root, node_id, depth): each of ``roots(node_id)`` and the nodes below it in ``nodes(node_id, parent_id, state)``.
+def reached(nodes: DataFrame, roots: DataFrame, only: str | None = None) -> DataFrame:
+    """(root, node_id, depth): each of ``roots(node_id)``, and each node of ``nodes(node_id, parent_id, state)`` below one, with the nearest root above it.
 
-    With ``only``, the descent goes through nodes of that state alone; the root counts in any state.
+    With ``only``, the descent goes through nodes of that state alone; a root counts in any state.
+    Every node points to its parent; in a round, a pointer that has not met a root is replaced
+    by its target's pointer, so a depth of d takes about log d rounds, and a row a node is all
+    there is. Nodes on a cycle without a root are below none.
     """
-    condition = "" if only is None else f"WHERE n.state = '{only}'"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE below(root, node_id, depth) AS (
-          SELECT node_id, node_id, 0 FROM {{roots}}
-          UNION ALL SELECT b.root, n.node_id, b.depth + 1 FROM below b JOIN {{nodes}} n ON n.parent_id = b.node_id {condition})
-        SELECT root, node_id, depth FROM below
-        """,
-        roots=roots,
-        nodes=nodes,
-    )
+    chosen = written(roots.select("node_id").distinct(), "roots")
+    goes = F.col("parent_id").isNotNull() if only is None else F.col("parent_id").isNotNull() & (F.col("state") == F.lit(only))
+    links = nodes.join(chosen, "node_id", "left_anti").where(goes).select("node_id", F.col("parent_id").alias("at"), F.lit(1).cast("long").alias("depth"))
+    met = chosen.select(F.col("node_id").alias("at"), F.lit(True).alias("met"))
+    pointers = written(links.join(met, "at", "left").select("node_id", "at", "depth", F.coalesce("met", F.lit(False)).alias("met")), "pointers")
+    for _ in range(62):
+        if not pointers.where("not met").head(1):
+            break
+        targets = pointers.select(F.col("node_id").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"), F.col("met").alias("then"))
+        moved = pointers.where("not met").join(targets, "at").select("node_id", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("then").alias("met"))
+        pointers = written(pointers.where("met").unionByName(moved), "pointers")
+    below = pointers.where("met").select(F.col("at").alias("root"), "node_id", F.col("depth").cast("int").alias("depth"))
+    return chosen.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth")).unionByName(below)
+
+
+def descendants(nodes: DataFrame, roots: DataFrame, only: str | None = None) -> DataFrame:
+    """(root, node_id, depth): like ``reached``, with a row for every root above a node, not only for the nearest.
+
+    Roots below roots are chained in rounds that double the length of the chains.
+    """
+    nearest = written(reached(nodes, roots, only), "reached")
+    goes = F.lit(True) if only is None else F.col("state") == F.lit(only)
+    # The nearest root above a root is that of its parent.
+    up = nodes.where(goes & F.col("parent_id").isNotNull()).join(roots.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("low"), F.col("parent_id").alias("node_id"))
+    chains = written(up.join(nearest, "node_id").select("low", F.col("root").alias("high"), (F.col("depth") + 1).alias("apart")), "chains")
+    step = chains
+    for _ in range(62):
+        # ``step`` has the roots 2 ** k levels above, ``chains`` all up to that
+        longer = chains.select(F.col("low").alias("middle"), "high", F.col("apart").alias("more"))
+        added = written(step.withColumnRenamed("high", "middle").join(longer, "middle").select("low", "high", (F.col("apart") + F.col("more")).alias("apart")), "chains")
+        if not added.head(1):
+            break
+        far = step.select(F.col("low").alias("middle"), "high", F.col("apart").alias("more"))
+        step = written(step.withColumnRenamed("high", "middle").join(far, "middle").select("low", "high", (F.col("apart") + F.col("more")).alias("apart")), "step")
+        chains = written(chains.unionByName(added).distinct(), "chains")
+    above = nearest.join(chains, nearest["root"] == chains["low"]).select(F.col("high").alias("root"), "node_id", (F.col("depth") + F.col("apart")).cast("int").alias("depth"))
+    return nearest.unionByName(above)
 
 
 def queue_positions(nodes: DataFrame) -> DataFrame:

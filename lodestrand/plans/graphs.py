@@ -50,10 +50,10 @@ def files_by_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.by_mass(ranked, 0.6, 40).select("node")
 
 
-@register("r02_definitions", f"WITH t AS ({TAGS}) SELECT name, count(*) FILTER (WHERE kind = 'def') AS n_defs, count(*) FILTER (WHERE kind = 'ref') AS n_refs, min(line + 1) FILTER (WHERE kind = 'def') AS first_line FROM t WHERE name LIKE 'run1%' GROUP BY name")
+@register("r02_definitions", f"WITH t AS ({TAGS}) SELECT name, count(*) FILTER (WHERE kind = 'def') AS n_defs, count(*) FILTER (WHERE kind = 'ref') AS n_refs, min(line + 1) FILTER (WHERE kind = 'def') AS first_line FROM t GROUP BY name")
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions and references of names; lines count from 1."""
-    t = select(spark, sf_dir, TAGS).where("name like 'run1%'")
+    t = select(spark, sf_dir, TAGS)
     d = F.col("kind") == "def"
     return t.groupBy("name").agg(F.count_if(d).alias("n_defs"), F.count_if(F.col("kind") == "ref").alias("n_refs"), F.min(F.when(d, F.col("line") + 1)).alias("first_line"))
 
@@ -99,7 +99,7 @@ _BELOW = "below(root, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes
 def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and depth of the trees below some nodes."""
     nodes = select(spark, sf_dir, NODES)
-    return G.descendants(spark, nodes, nodes.where("node_id % 50 = 10").select("node_id")).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
+    return G.descendants(nodes, nodes.where("node_id % 50 = 10").select("node_id")).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
 
 
 @register(
@@ -112,7 +112,7 @@ def descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors reach the pending nodes below, through pending nodes only."""
     nodes = select(spark, sf_dir, NODES)
-    hit = G.descendants(spark, nodes, nodes.where("state = 'error'").select("node_id"), "pending").select("node_id", F.lit(True).alias("hit")).distinct()
+    hit = G.reached(nodes, nodes.where("state = 'error'").select("node_id"), "pending").select("node_id", F.lit(True).alias("hit"))
     return nodes.join(hit, "node_id", "left").select("node_id", F.when(F.col("hit"), "error").otherwise(F.col("state")).alias("state"))
 
 
@@ -120,7 +120,7 @@ def error_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees without a branch."""
     nodes = select(spark, sf_dir, NODES)
-    gone = G.descendants(spark, nodes, nodes.where("node_id % 50 = 20").select("node_id")).select("node_id")
+    gone = G.reached(nodes, nodes.where("node_id % 50 = 20").select("node_id")).select("node_id")
     return nodes.join(gone, "node_id", "left_anti").groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,7 +128,7 @@ def remove_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cancel_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unfinished nodes of a branch are cancelled."""
     nodes = select(spark, sf_dir, NODES)
-    hit = G.descendants(spark, nodes, nodes.where("node_id % 50 = 20").select("node_id")).select("node_id", F.lit(True).alias("hit")).distinct()
+    hit = G.reached(nodes, nodes.where("node_id % 50 = 20").select("node_id")).select("node_id", F.lit(True).alias("hit"))
     return nodes.join(hit, "node_id", "left").select("node_id", F.when(F.col("hit") & F.col("state").isin("pending", "in_progress"), "error").otherwise(F.col("state")).alias("state"))
 
 

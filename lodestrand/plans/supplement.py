@@ -92,13 +92,13 @@ def salvageable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.bool_and((F.col("tool_use_id") != "") & (F.col("name") != "") & complete_object(given).isNotNull()).alias("salvageable"))
 
 
-@register("j10_fuzzy_ids", "SELECT a.p_partkey, arg_max(b.s_suppkey, b.s_suppkey) AS owner FROM part a JOIN supplier b ON starts_with('t' || a.p_partkey::VARCHAR, 't' || b.s_suppkey::VARCHAR) OR starts_with('t' || b.s_suppkey::VARCHAR, 't' || a.p_partkey::VARCHAR) WHERE a.p_partkey < 500 GROUP BY a.p_partkey")
+@register("j10_fuzzy_ids", "SELECT a.p_partkey, arg_max(b.s_suppkey, b.s_suppkey) AS owner FROM part a JOIN supplier b ON starts_with('t' || a.p_partkey::VARCHAR, 't' || b.s_suppkey::VARCHAR) OR starts_with('t' || b.s_suppkey::VARCHAR, 't' || a.p_partkey::VARCHAR) GROUP BY a.p_partkey")
 def fuzzy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10, ST10: the most recent id that equals, begins or continues another.
 
     A prefix of an id is an equality on one of the id's own prefixes, so this is two equi-joins.
     """
-    a = table(spark, sf_dir, "part").where("p_partkey < 500").select("p_partkey", F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("a"))
+    a = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("a"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("owner"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("b"))
     return P.prefix_matches(a, b).groupBy("p_partkey").agg(F.max("owner").alias("owner"))
 
@@ -146,7 +146,7 @@ def branch_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrand.operators import graph
 
     nodes = select(spark, sf_dir, NODES)
-    below = graph.descendants(spark, nodes, nodes.where("node_id % 50 = 5").select("node_id"))
+    below = graph.descendants(nodes, nodes.where("node_id % 50 = 5").select("node_id"))
     return below.join(nodes.select("node_id", "chat_id"), "node_id").groupBy("root").agg(F.countDistinct("chat_id").alias("chats"))
 
 
@@ -198,15 +198,15 @@ def applied_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(cut, "conv_id", "left").where(F.col("turn") >= F.coalesce("cut", F.lit(0))).groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@register("x35_prepended", "SELECT conv_id, '[earlier]' || chr(10) || string_agg(substr(text, 1, 20), chr(10) || '---' || chr(10) ORDER BY turn) AS prefix FROM conversations WHERE turn < 3 GROUP BY conv_id")
+@register("x35_prepended", "SELECT conv_id, '[earlier]' || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS prefix FROM conversations GROUP BY conv_id")
 def prepended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block bodies joined in order under a header."""
-    c = table(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("t")))).alias("b"))
+    """Block bodies joined in order under a header."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("b"))
     return c.select("conv_id", F.concat(F.lit("[earlier]\n"), F.array_join("b.t", "\n---\n")).alias("prefix"))
 
 
 @register("x48_messages", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Rate limit reached. Try again later.' WHEN 1 THEN 'The provider is overloaded.' ELSE 'The request failed.' END AS message FROM events")
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages by kind of error."""
+    """Messages by kind of error."""
     status = F.when(F.col("event_id") % 3 == 0, 429).when(F.col("event_id") % 3 == 1, 503).otherwise(418)
     return table(spark, sf_dir, "events").select("event_id", P.error_message(T.error_kind(status)).alias("message"))

@@ -1,9 +1,33 @@
-"""The driver's Parquet tables."""
+"""The driver's Parquet tables, and tables that cut lineage."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder that ``spark.checkpoint.dir`` names, and read back, without its lineage.
+
+    Where that is unset, a folder of this process is used, on a local master only. The folder
+    belongs to the application, which removes it.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="lodestrand-"))
+        named = _local[0]
+    path = f"{named.rstrip('/')}/lodestrand/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

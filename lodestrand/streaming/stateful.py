@@ -9,6 +9,7 @@ stream's rest is emitted when its event-time timeout passes.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestrand.functions import blocks as B
 from lodestrand.functions import streams as S
 
 PARTS = "stream_id string, part int, kind string, content string"
@@ -131,3 +133,65 @@ def json_lines(lines: DataFrame) -> DataFrame:
     text = F.trim("value")
     wrapped = F.to_json(F.struct(F.lit("raw").alias("type"), text.alias("content")))
     return lines.where(text != "").select(F.when(F.try_parse_json(text).isNotNull(), text).otherwise(wrapped).alias("value"))
+
+
+EVENTS = "stream_id string, part int, event string, data string"
+
+
+def _event_frame(key: str, events: list[tuple[str, dict]], begin: int = 0) -> pd.DataFrame:
+    rows = [(key, begin + i, name, json.dumps(data, ensure_ascii=False, sort_keys=True)) for i, (name, data) in enumerate(events)]
+    return pd.DataFrame(rows, columns=["stream_id", "part", "event", "data"]).astype({"part": "int32"})
+
+
+def _read(frame: pd.DataFrame) -> Iterator[tuple[str, dict]]:
+    frame = frame.sort_values("seq")
+    return zip(frame["event"], (json.loads(d or "{}") for d in frame["data"]))
+
+
+def normalised(events: DataFrame, thinking: bool = True) -> DataFrame:
+    """(stream_id, part, event, data) of ``events(stream_id, seq, event, data)``: block events under dense indexes (``blocks.Normaliser``)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        fold = B.Normaliser(thinking)
+        return _event_frame(frame["stream_id"].iloc[0], [e for name, data in _read(frame) for e in fold.apply(name, data)])
+
+    return events.groupBy("stream_id").applyInPandas(run, EVENTS)
+
+
+def normalised_stream(events: DataFrame, thinking: bool = True) -> DataFrame:
+    """``normalised`` for a streaming ``events``; the fold of a stream is its state."""
+
+    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fold, part = (pickle.loads(bytes(state.get[0])), state.get[1]) if state.exists else (B.Normaliser(thinking), 0)
+        out = [e for name, data in _read(pd.concat(list(frames))) for e in fold.apply(name, data)]
+        state.update((pickle.dumps(fold), part + len(out)))
+        yield _event_frame(key[0], out, part)
+
+    return events.groupBy("stream_id").applyInPandasWithState(run, EVENTS, "fold binary, part int", "append", GroupStateTimeout.NoTimeout)
+
+
+def success_tails(events: DataFrame, reason: str) -> DataFrame:
+    """(stream_id, tail) of ``events(stream_id, seq, event, data)``: the indexes of blocks that have to be closed, in order, then the missing message events."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sent = B.Emitted()
+        for name, data in _read(frame):
+            sent.see(name, data)
+        tail = sent.finish(reason)
+        stops = ",".join(str(d["index"]) for n, d in tail if n == "content_block_stop")
+        return pd.DataFrame({"stream_id": [frame["stream_id"].iloc[0]], "tail": [";".join([stops, *[n for n, _ in tail if n != "content_block_stop"]])]})
+
+    return events.groupBy("stream_id").applyInPandas(run, "stream_id string, tail string")
+
+
+def transcripts(rows: DataFrame) -> DataFrame:
+    """(stream_id, part, kind, content, calls) of ``rows(stream_id, seq, data)``, typed rows of a client's events; calls counts those of a subagent."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        fold = B.Transcript()
+        for data in frame.sort_values("seq")["data"]:
+            fold.apply(json.loads(data))
+        found = [(frame["stream_id"].iloc[0], i, s["kind"], s["text"] if isinstance(s["text"], str) else json.dumps(s["text"]), s.get("calls")) for i, s in enumerate(fold.segments)]
+        return pd.DataFrame(found, columns=["stream_id", "part", "kind", "content", "calls"]).astype({"part": "int32", "calls": "Int64"})
+
+    return rows.groupBy("stream_id").applyInPandas(run, "stream_id string, part int, kind string, content string, calls long")
