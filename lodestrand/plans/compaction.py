@@ -15,14 +15,14 @@ MESSAGES = "SELECT conv_id, turn AS msg_idx, role, text FROM conversations"
 #: Messages as blocks: assistants think first, every fifth message has an image.
 BLOCKS = """
     SELECT conv_id, msg_idx, role, type, text, name, place FROM (
-      SELECT conv_id, turn AS msg_idx, role, 'thinking' AS type, 'hm ' || substr(text, 1, 10) AS text, CAST(NULL AS STRING) AS name, 0 AS place FROM conversations WHERE role = 'assistant'
+      SELECT conv_id, turn AS msg_idx, role, 'thinking' AS type, 'hm ' || text AS text, CAST(NULL AS STRING) AS name, 0 AS place FROM conversations WHERE role = 'assistant'
       UNION ALL SELECT conv_id, turn, role, 'text', text, NULL, 1 FROM conversations WHERE (conv_id + turn) % 6 <> 5
       UNION ALL SELECT conv_id, turn, role, 'tool_use', NULL, 'Read', 2 FROM conversations WHERE role = 'assistant' AND turn % 3 = 0
       UNION ALL SELECT conv_id, turn, role, 'image', NULL, NULL, 3 FROM conversations WHERE (conv_id + turn) % 5 = 0
     ) b
 """
 REMINDERS = """
-    SELECT conv_id, turn AS seq, '<system-reminder>rule ' || CAST(turn % 3 AS STRING) || '</system-reminder>' || substr(text, 1, 15) || '<system-reminder>note ' || CAST(conv_id % 4 AS STRING) || '</system-reminder>!' AS text FROM conversations
+    SELECT conv_id, turn AS seq, '<system-reminder>rule ' || CAST(turn % 3 AS STRING) || '</system-reminder>' || text || '<system-reminder>note ' || CAST(conv_id % 4 AS STRING) || '</system-reminder>!' AS text FROM conversations
 """
 
 
@@ -40,11 +40,12 @@ _ERRORED = rf"""
 """
 
 
-@register("p01_strip_ansi", "SELECT doc_id, sha256(substr(text, 1, 40) || substr(text, 41, 40)) AS stripped FROM documents")
+@register("p01_strip_ansi", "SELECT doc_id, sha256(text) AS stripped FROM documents")
 def strip_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terminal escapes are removed, here from texts that were coloured."""
     docs = table(spark, sf_dir, "documents")
-    coloured = F.concat(F.lit("\x1b[1;31m"), F.substring("text", 1, 40), F.lit("\x1b[0m\x1bM"), F.substring("text", 41, 40))
+    half = F.floor(F.length("text") / 2).cast("int")
+    coloured = F.concat(F.lit("\x1b[1;31m"), F.left("text", half), F.lit("\x1b[0m\x1bM"), F.right("text", F.length("text") - half))
     return docs.select("doc_id", F.sha2(T.strip_ansi(coloured), 256).alias("stripped"))
 
 
@@ -113,7 +114,7 @@ def dedupe_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "w02_dedupe_reminders",
     f"""
-    WITH m AS (SELECT conv_id, turn AS seq, 'rule ' || (turn % 3)::VARCHAR AS b1, 'note ' || (conv_id % 4)::VARCHAR AS b2, substr(text, 1, 15) AS mid FROM conversations),
+    WITH m AS (SELECT conv_id, turn AS seq, 'rule ' || (turn % 3)::VARCHAR AS b1, 'note ' || (conv_id % 4)::VARCHAR AS b2, text AS mid FROM conversations),
     spots AS (SELECT conv_id, seq, 0 AS place, b1 AS body FROM m UNION ALL SELECT conv_id, seq, 1, b2 FROM m),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, body ORDER BY seq, place) AS k FROM spots),
     shown AS (SELECT conv_id, seq, place, CASE WHEN k > 1 THEN '{C.SAME_REMINDER}' ELSE '<system-reminder>' || body || '</system-reminder>' END AS s FROM ranked)

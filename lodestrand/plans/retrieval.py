@@ -51,13 +51,13 @@ def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "w11_sections",
     """
-    SELECT doc_id AS doc, 0 AS position, 'a/' || doc_id::VARCHAR || '.md' AS path, sha256(substr(text, 1, 50)) AS body_hash FROM documents
+    SELECT doc_id AS doc, 0 AS position, 'a/' || doc_id::VARCHAR || '.md' AS path, sha256(text) AS body_hash FROM documents
     UNION ALL SELECT doc_id, 1, 'b.md', sha256('tail') FROM documents
     """,
 )
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a rendered index at file headers."""
-    text = F.concat(F.lit("intro\n## File: a/"), F.col("doc_id").cast("string"), F.lit(".md\n"), F.substring("text", 1, 50), F.lit("\n## File: b.md\ntail"))
+    text = F.concat(F.lit("intro\n## File: a/"), F.col("doc_id").cast("string"), F.lit(".md\n"), F.col("text"), F.lit("\n## File: b.md\ntail"))
     out = V.sections(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text")))
     return out.select("doc", "position", "path", F.sha2("body", 256).alias("body_hash"))
 

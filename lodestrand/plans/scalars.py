@@ -24,17 +24,17 @@ def cap_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "f06_tags",
-    """
-    WITH t AS (SELECT doc_id, 'x <digest> ' || substr(text, 1, 30) || ' </digest>' AS a, '<header>old</header><header>' || substr(text, 1, 12) || '</header><body>b' || CASE WHEN doc_id % 2 = 0 THEN '</body>' ELSE '' END AS b FROM documents)
-    SELECT doc_id, regexp_replace(substr(a, 12, length(a) - 21), '^\\s+|\\s+$', '', 'g') AS digest, regexp_replace(substr(b, 29, 12), '^\\s+|\\s+$', '', 'g') AS header, CASE WHEN doc_id % 2 = 0 THEN 'b' END AS body FROM t WHERE length(a) = 51
-    """.replace("\\\\", "\\"),
+    r"""
+    WITH t AS (SELECT doc_id, regexp_replace(text, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS whole FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, sha256(nullif(whole, '')) AS digest, sha256(whole) AS header, CASE WHEN doc_id % 2 = 0 THEN 'b' END AS body FROM t
+    """,
 )
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest and section tags of a response."""
-    docs = table(spark, sf_dir, "documents").where(F.length(F.substring("text", 1, 30)) == 30)
-    a = F.concat(F.lit("x <digest> "), F.substring("text", 1, 30), F.lit(" </digest>"))
-    b = F.concat(F.lit("<header>old</header><header>"), F.substring("text", 1, 12), F.lit("</header><body>b"), F.when(F.col("doc_id") % 2 == 0, "</body>").otherwise(""))
-    return docs.select("doc_id", T.digest_tag(a).alias("digest"), T.between_last(b, "<header>", "</header>").alias("header"), T.between_last(b, "<body>", "</body>").alias("body"))
+    """Digest and section tags of a response that holds a whole text."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    a = F.concat(F.lit("x <digest> "), F.col("text"), F.lit(" </digest>"))
+    b = F.concat(F.lit("<header>old</header><header>"), F.col("text"), F.lit("</header><body>b"), F.when(F.col("doc_id") % 2 == 0, "</body>").otherwise(""))
+    return docs.select("doc_id", F.sha2(T.digest_tag(a), 256).alias("digest"), F.sha2(T.between_last(b, "<header>", "</header>"), 256).alias("header"), T.between_last(b, "<body>", "</body>").alias("body"))
 
 
 @register(
@@ -137,10 +137,10 @@ def first_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", T.first_url(text).alias("found"), T.query_text(query).alias("query"))
 
 
-@register("f12_escape", r"SELECT doc_id, sha256(regexp_replace(substr(text, 1, 200), '([_*\[\]()~`>#+\-=|{}.!\\])', '\\\1', 'g')) AS escaped FROM documents")
+@register("f12_escape", r"SELECT doc_id, sha256(regexp_replace(text, '([_*\[\]()~`>#+\-=|{}.!\\])', '\\\1', 'g')) AS escaped FROM documents")
 def escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown characters escaped."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.escape_markdown(F.substring("text", 1, 200), "_*[]()~`>#+-=|{}.!\\"), 256).alias("escaped"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.escape_markdown(F.col("text"), "_*[]()~`>#+-=|{}.!\\"), 256).alias("escaped"))
 
 
 @register(

@@ -12,16 +12,16 @@ from lodestrand.streaming import stateful
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = select(spark, sf_dir, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN '<think>' || substr(text, 1, 40) || '</think>' ELSE substr(text, 1, 40) END AS s FROM conversations")
+    turns = select(spark, sf_dir, "SELECT conv_id, turn, CASE WHEN role = 'user' THEN '<think>' || text || '</think>' ELSE text END AS s FROM conversations")
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("t")).select(F.col("conv_id").cast("string").alias("stream_id"), F.array_join("t.s", "").alias("s"))
-    spots = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 7))
-    return whole.select("stream_id", F.explode(spots).alias("seq"), "s").select("stream_id", "seq", F.expr("substring(s, CAST(seq * 7 + 1 AS INT), 7)").alias("chunk"))
+    spots = F.sequence(F.lit(0), F.floor((F.length("s") - 1) / 37))
+    return whole.select("stream_id", F.explode(spots).alias("seq"), "s").select("stream_id", "seq", F.expr("substring(s, CAST(seq * 37 + 1 AS INT), 37)").alias("chunk"))
 
 
 @register(
     "st01_think_split",
     """
-    SELECT conv_id::VARCHAR AS stream_id, coalesce(string_agg(CASE WHEN role = 'user' THEN substr(text, 1, 40) END, '' ORDER BY turn), '') AS thinking, coalesce(string_agg(CASE WHEN role <> 'user' THEN substr(text, 1, 40) END, '' ORDER BY turn), '') AS said FROM conversations GROUP BY conv_id
+    SELECT conv_id::VARCHAR AS stream_id, coalesce(string_agg(CASE WHEN role = 'user' THEN text END, '' ORDER BY turn), '') AS thinking, coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, '' ORDER BY turn), '') AS said FROM conversations GROUP BY conv_id
     """,
 )
 def think_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,22 +34,21 @@ def think_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "st02_text_tool_calls",
-    """SELECT event_id::VARCHAR AS stream_id, event_type AS name, user_id::VARCHAR AS path, 'before ' AS said FROM events WHERE event_id < 300""",
+    """SELECT user_id::VARCHAR AS stream_id, count(*) AS n_calls, string_agg(event_type || ' ' || event_id::VARCHAR, ',' ORDER BY event_id) AS calls, repeat('before ', count(*)::INT) AS said FROM events GROUP BY user_id""",
 )
 def text_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST02: calls written as text."""
+    """ST02: calls written as text, a stream of them for each user."""
     chunks = select(
         spark,
         sf_dir,
-        """SELECT CAST(event_id AS STRING) AS stream_id, 0 AS seq, 'before ● <func' AS chunk FROM events WHERE event_id < 300
-           UNION ALL SELECT CAST(event_id AS STRING), 1, 'tion=' || event_type || '><parameter=path>' || CAST(user_id AS STRING) || '</para' FROM events WHERE event_id < 300
-           UNION ALL SELECT CAST(event_id AS STRING), 2, 'meter>' FROM events WHERE event_id < 300""",
+        """SELECT CAST(user_id AS STRING) AS stream_id, event_id * 3 AS seq, 'before ● <func' AS chunk FROM events
+           UNION ALL SELECT CAST(user_id AS STRING), event_id * 3 + 1, 'tion=' || event_type || '><parameter=path>' || CAST(event_id AS STRING) || '</para' FROM events
+           UNION ALL SELECT CAST(user_id AS STRING), event_id * 3 + 2, 'meter>' FROM events""",
     )
-    parts = stateful.extract_calls(chunks)
-    call = F.from_json("content", "name string, input map<string,string>")
-    calls = parts.where("kind = 'tool_use'").select("stream_id", call.alias("c")).select("stream_id", "c.name", F.element_at("c.input", "path").alias("path"))
-    said = parts.where("kind = 'text'").groupBy("stream_id").agg(F.array_join(F.collect_list("content"), "").alias("said"))
-    return calls.join(said, "stream_id")
+    parts = stateful.extract_calls(chunks).withColumn("c", F.from_json("content", "name string, input map<string,string>"))
+    of = lambda kind, value: F.array_join(F.transform(F.filter("p", lambda x: x["kind"] == kind), value), "," if kind == "tool_use" else "")
+    found = parts.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("part", "kind", "content", F.concat_ws(" ", "c.name", F.element_at("c.input", "path")).alias("call")))).alias("p"))
+    return found.select("stream_id", F.size(F.filter("p", lambda x: x["kind"] == "tool_use")).cast("long").alias("n_calls"), of("tool_use", lambda x: x["call"]).alias("calls"), of("text", lambda x: x["content"]).alias("said"))
 
 
 @register("s13_sse_frames", "SELECT event_type AS event, count(*) AS n, sum(user_id)::BIGINT AS total FROM events GROUP BY event_type")

@@ -47,10 +47,10 @@ REQUESTS = """
            CASE WHEN conv_id % 5 = 0 THEN 'Write a sentence-case title for this.' WHEN conv_id % 5 = 1 THEN 'Extract any file paths that this command reads.' WHEN conv_id % 5 = 2 THEN 'Return JSON with a title field for this session.' ELSE '' END AS system_text,
            CASE WHEN conv_id % 7 = 0 THEN 'Quota check'
                 WHEN conv_id % 7 = 1 THEN '<policy_spec>p</policy_spec> Command: ls Command:  git status -s '
-                WHEN conv_id % 7 = 2 THEN '[SUGGESTION MODE: x] ' || substr(text, 1, 20)
+                WHEN conv_id % 7 = 2 THEN '[SUGGESTION MODE: x] ' || text
                 WHEN conv_id % 7 = 3 THEN 'Give filepaths. Command: cat a.txt Output: hello' || chr(10) || chr(10) || 'more'
                 WHEN conv_id % 7 = 4 THEN 'Command: ls -l Output: a.py b.py <end>'
-                ELSE substr(text, 1, 60) END AS user_text
+                ELSE text END AS user_text
     FROM conversations WHERE turn = 0
 """
 #: A repository: files, the names that each defines and refers to.
