@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch to or from Python, where the session leaves Spark's default. Rows of long texts would else fill 64 MB a task and direction.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, DEFAULT_BYTES = 8 << 20, "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors through Spark's own file server, once per application."""
+    """Send this package to the executors through Spark's own file server, once per application, and bound Arrow batches."""
+    if spark.conf.get(BATCH, DEFAULT_BYTES) == DEFAULT_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
