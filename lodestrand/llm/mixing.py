@@ -9,8 +9,9 @@ expected words are the rest of the target. Documents are ranked by (u / (1 - u))
 the target. From the first that does not fit, the order is followed on among the documents
 that still fit, for ``TURNS`` turns; the last turn overshoots if that comes closer.
 
-All of it is DataFrame expressions. No source is ranked in one task: the ranks are first
-counted in ``BINS`` bins of each source, and only the bin at the edge is ranked by rows.
+All of it is DataFrame expressions. No source is ranked in one task: sizes and ranks are dealt
+to ranges of about equal rows, words are summed by range, and only the range at a source's edge
+is ordered by rows.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import cut, fits, hint_if
+from lodestrand.llm.tables import cut, hint_if, measured, n_partitions, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 WEIGHTS = (5, 2, 1)
-BINS = 4096
 TURNS = 4
 SEED = "mix-1"
 
@@ -33,7 +33,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(totals: DataFrame) -> DataFrame:
-    """``totals(source, source_size)`` with ``target``, one row a source.
+    """``totals(source, source_size, ...)`` with ``target``, one row a source.
 
     Sources by code point, null last, weigh 5, 2, 1, repeating. Targets share the sum of all
     sizes by weight; a target stops at 3 times its source's size and the excess is reshared
@@ -56,88 +56,97 @@ def source_targets(totals: DataFrame) -> DataFrame:
     free = level * F.col("weight") <= F.col("limit")
     found = stepped.withColumn("level", F.first(F.when(free, level), ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.when(F.col("level").isNull() | (F.col("level") * F.col("weight") > F.col("limit")), F.col("limit").cast("double")).otherwise(F.col("level") * F.col("weight"))
-    return found.select("source", "source_size", target.alias("target"))
+    return found.select(*totals.columns, target.alias("target"))
 
 
 #: Sources whose plan rows (below 200 bytes each) may be broadcast; with more, the join is shuffled.
 BROADCAST_SOURCES = 50_000
+CUTS = "array<struct<limit:bigint,last:double>>"
 
 
-def _sized(docs: DataFrame) -> list[Column]:
-    size = word_count(F.col("text").cast("string"))
-    return [F.col("source").cast("string").alias("__source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key"), size.alias("__size")]
+def _sized(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """(row, source, key, size): the carried columns as one, so that their names clash with none used here."""
+    text = F.col("text").cast("string")
+    key = F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col("source").cast("string").alias("source"), key.alias("key"), word_count(text).alias("size"))
 
 
-def _rank(rows: DataFrame) -> DataFrame:
-    """``rows`` with __rank in (0, 1], the document's place in its source's order, and __bin."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), "__key")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    x = F.length(F.bin("__size"))
-    p = F.least(F.coalesce(F.try_divide(F.col("__rest") * x, F.col("__moment").cast("double")), F.lit(0.0)), F.lit(0.999))
-    odds = (u / (1 - u)) * ((1 - F.col("__p")) / F.col("__p"))
-    rows = rows.withColumn("__p", p).withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)).otherwise(1.0))
-    return rows.withColumn("__bin", F.least(F.floor(F.col("__rank") * BINS), F.lit(BINS - 1)).cast("int")).drop("__p")
+def _rank() -> Column:
+    """A document's place in (0, 1] in its source's order, from key, size, rest and moment."""
+    u = (F.conv(F.substring(F.md5("key"), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    p = F.least(F.coalesce(F.try_divide(F.col("rest") * F.length(F.bin("size")), F.col("moment").cast("double")), F.lit(0.0)), F.lit(0.999))
+    odds = (u / (1 - u)) * ((1 - p) / p)
+    return F.when(p > 0, odds / (1 + odds)).otherwise(1.0)
 
 
-def with_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies (0 to 3).
+def with_copies(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """(row, size, source_size, target, copies): the ``carried`` columns of each row of ``docs``, and how often it is taken, 0 to 3.
 
-    One pass counts words, some more over the table of counts find each source's cuts, and
-    then every row is decided by itself. Rows of one source with one
-    rank (a repeated doc_id of equal size) are taken or left together.
+    One pass counts words; passes over the table of ranks find each source's cuts, and then every
+    row is decided by itself. Rows of one source that are equal in doc_id and text are taken or
+    left together.
     """
-    slim = cut(docs.select(*_sized(docs)), "sizes")
-    moment = F.sum(F.col("__size") * F.when(F.col("__size") > 0, F.length(F.bin("__size"))).otherwise(0))
-    totals = cut(slim.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), moment.alias("moment")), "sources")
-    plan = source_targets(totals).join(totals.select(F.col("source").alias("__s"), F.col("moment").alias("__moment")), F.col("source").eqNullSafe(F.col("__s"))).select(
-        "__s", "__moment", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long").alias("__whole")
-    )
-    plan = cut(plan.withColumn("__rest", F.col("__target") - F.col("__whole") * F.col("__source_size")), "targets")
-    small = fits(plan, BROADCAST_SOURCES)
-    plan = plan.select("*", F.col("__rest").alias("__left"), F.lit((1 << 62)).alias("__limit"), F.lit(0.0).alias("__last"), F.lit(None).cast("array<struct<limit:bigint,last:double>>").alias("__cuts"))
+    with scratch(docs.sparkSession) as keep:
+        plan, small = _plan(docs)
+        plan = keep(plan, "mix")
+    out = _sized(docs, carried).join(hint_if(plan.withColumnRenamed("source", "of"), small), F.col("source").eqNullSafe(F.col("of")))
+    out = out.withColumn("rank", _rank())
+    chosen = F.exists("cuts", lambda c: (F.col("size") <= c["limit"]) & (F.col("rank") <= c["last"]))
+    taken = F.when((F.col("rest") > 0) & chosen, 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("whole") + taken).otherwise(0).cast("int")
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def _plan(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(source, moment, source_size, target, whole, rest, cuts): what each source takes; and whether that may be broadcast."""
+    slim = cut(_sized(docs, ["doc_id"]).select("source", "key", "size"), "sizes")
+    moment = F.sum(F.col("size") * F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
+    plan = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), moment.alias("moment")))
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan, counts = measured(plan.select("source", "moment", "source_size", "target", "whole", "rest"), "targets")
+    small = counts["rows"] <= BROADCAST_SOURCES
+    drawn = slim.where("size > 0").join(hint_if(plan.where("rest > 0").select(F.col("source").alias("s"), "rest", "moment"), small), F.col("source").eqNullSafe(F.col("s")))
+    # Rows of one rank are one entry, so that no range is crowded by repeats of a row.
+    ranks = drawn.select("s", "size", _rank().alias("rank")).groupBy("s", "rank", "size").agg(F.sum("size").alias("words"))
+    ranks = cut(ranks.repartitionByRange(n_partitions(docs.sparkSession), "s", "rank").withColumn("range", F.spark_partition_id()), "ranks")
+    state = plan.select("source", F.col("rest").alias("left_words"), F.lit(1 << 62).alias("limit"), F.lit(0.0).alias("last"), F.array().cast(CUTS).alias("cuts"))
     for turn in range(TURNS):
-        plan = _fill(slim, plan, small, turn == TURNS - 1)
-    out = docs.select("*", *_sized(docs)).join(hint_if(plan.select("__s", "__moment", "__source_size", "__target", "__whole", "__rest", "__cuts"), small), F.col("__source").eqNullSafe(F.col("__s")))
-    out = _rank(out)
-    chosen = F.exists("__cuts", lambda c: (F.col("__size") <= c["limit"]) & (F.col("__rank") <= c["last"]))
-    taken = F.when((F.col("__size") > 0) & (F.col("__rest") > 0) & chosen, 1).otherwise(0)
-    return out.withColumn("__copies", F.when(F.col("__size") > 0, F.col("__whole") + taken).otherwise(0).cast("int"))
+        state = cut(_fill(ranks, state, small, turn == TURNS - 1), "turn")
+    return plan.join(state.select(F.col("source").alias("s"), "cuts"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), small
 
 
-def _fill(slim: DataFrame, plan: DataFrame, small: bool, final: bool) -> DataFrame:
-    """``plan`` after one more turn: each source takes rows in rank order, from behind its last cut and of
-    at most __limit words, while they fit into __left; the last turn may overshoot if that comes closer.
+def _fill(ranks: DataFrame, state: DataFrame, small: bool, final: bool) -> DataFrame:
+    """``state(source, left_words, limit, last, cuts)`` after one more turn.
 
-    A cut (limit, last) takes rows with at most ``limit`` words up to rank ``last``. Limits only
-    fall and ranks only rise, so a row that fits a cut was never passed over by an earlier one.
+    Each source takes rows of ``ranks(s, size, rank, words, range)`` in rank order, from behind its
+    last cut and of at most ``limit`` words, while they fit into left_words; the last turn may
+    overshoot if that comes closer. A cut (limit, last) takes rows with at most ``limit`` words up
+    to rank ``last``. Limits only fall and ranks only rise, so a row that fits a cut was never
+    passed over by an earlier one.
     """
-    rows = _rank(slim.where("__size > 0").join(hint_if(plan, small), F.col("__source").eqNullSafe(F.col("__s"))))
-    rows = rows.where((F.col("__left") > 0) & (F.col("__size") <= F.col("__limit")) & (F.col("__rank") > F.col("__last")))
-    bins = cut(rows.groupBy("__s", "__left", "__bin").agg(F.sum("__size").alias("words"), F.max("__rank").alias("top")), "bins")
-    before = Window.partitionBy("__s").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("*", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"), F.max("top").over(before).alias("below"))
-    # Bins before the edge are taken whole; the edge is the bin in which the words reach __left.
-    edges = cut(bins.where("start <= __left and start + words > __left").select(F.col("__s").alias("__e"), F.col("__bin").alias("__edge"), "start", "below"), "edges")
-    at_edge = rows.join(hint_if(edges, small), F.col("__s").eqNullSafe(F.col("__e")) & (F.col("__bin") == F.col("__edge")))
-    ties = at_edge.groupBy("__e", "__rank", "__left", "start").agg(F.sum("__size").alias("words"))
-    inside = Window.partitionBy("__e").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("filled", F.col("start") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
-    takes = F.col("filled") + F.col("words") / (2.0 if final else 1.0) <= F.col("__left")
-    last = ties.groupBy(F.col("__e").alias("__t")).agg(F.max(F.when(takes, F.col("__rank"))).alias("edge_last"), F.sum(F.when(takes, F.col("words"))).alias("edge_words"))
-    totals = bins.groupBy(F.col("__s").alias("__b")).agg(F.sum("words").alias("all_words"))
-    joined = (
-        plan.join(totals, F.col("__s").eqNullSafe(F.col("__b")), "left").join(edges, F.col("__s").eqNullSafe(F.col("__e")), "left").join(last, F.col("__s").eqNullSafe(F.col("__t")), "left")
-    )
-    whole = F.col("__edge").isNull()
+    open_ = state.where("left_words > 0").select(F.col("source").alias("of"), "left_words", "limit", "last")
+    rows = ranks.join(hint_if(open_, small), F.col("s").eqNullSafe(F.col("of"))).where("size <= limit and rank > last")
+    sums = cut(rows.groupBy("s", "left_words", "range").agg(F.sum("words").alias("words"), F.max("rank").alias("top")), "ranges")
+    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn("below", F.max("top").over(before))
+    # Ranges before the edge are taken whole; the edge is the range in which the words reach left_words.
+    edges = placed.where("start <= left_words and start + words > left_words").select(F.col("s").alias("e"), F.col("range").alias("edge"), "start", "below")
+    at_edge = rows.join(hint_if(edges, small), F.col("s").eqNullSafe(F.col("e"))).where("range = edge")
+    inside = Window.partitionBy("s").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.col("start") + F.coalesce(F.sum("words").over(inside), F.lit(0))
+    takes = filled + F.col("words") / (2.0 if final else 1.0) <= F.col("left_words")
+    taking = at_edge.select("s", "rank", "words", takes.alias("takes"))
+    last = taking.groupBy(F.col("s").alias("t")).agg(F.max(F.when(F.col("takes"), F.col("rank"))).alias("edge_last"), F.sum(F.when(F.col("takes"), F.col("words"))).alias("edge_words"))
+    totals = sums.groupBy(F.col("s").alias("b")).agg(F.sum("words").alias("all_words"))
+    side = lambda df, of: (hint_if(df, small), F.col("source").eqNullSafe(F.col(of)), "left")
+    joined = state.withColumnRenamed("last", "was").join(*side(totals, "b")).join(*side(edges, "e")).join(*side(last, "t"))
+    whole = F.col("start").isNull()  # no edge: all that is left is taken
     taken = F.when(whole, F.coalesce("all_words", F.lit(0))).otherwise(F.col("start") + F.coalesce("edge_words", F.lit(0)))
-    reached = F.when(whole, F.lit(1.0)).otherwise(F.coalesce("edge_last", "below", "__last"))
-    left = F.col("__left") - taken
-    made = F.struct(F.col("__limit").alias("limit"), reached.alias("last"))
-    return cut(
-        joined.select(
-            "__s", "__moment", "__source_size", "__target", "__whole", "__rest", left.alias("__left"), F.least("__limit", F.greatest(F.floor(left), F.lit(0))).cast("long").alias("__limit"), reached.alias("__last"), F.concat(F.coalesce("__cuts", F.array().cast("array<struct<limit:bigint,last:double>>")), F.array(made)).alias("__cuts")
-        ),
-        "plan",
-    )
+    reached = F.when(whole, F.lit(1.0)).otherwise(F.coalesce("edge_last", "below", "was"))
+    joined = joined.select("source", (F.col("left_words") - taken).alias("left_words"), "limit", reached.alias("last"), "cuts")
+    made = F.struct("limit", "last")
+    return joined.select("source", "left_words", F.least("limit", F.greatest(F.floor("left_words"), F.lit(0))).cast("long").alias("limit"), "last", F.concat("cuts", F.array(made)).alias("cuts"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -145,12 +154,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
     taken is copies * size. A null or empty text has size 0 and gives nothing; a source
     without words has target 0; a null source is a source of its own, the last in order.
-    The draw depends on doc_id alone, so reruns agree whatever the partitioning; rows that
-    repeat a doc_id with equal size are taken or left together. Other columns are not read.
-    An empty table gives an empty table.
+    The draw depends on doc_id and text alone, so reruns agree whatever the partitioning; rows
+    equal in both are taken or left together. Other columns are not read. An empty table
+    gives an empty table.
     """
-    out = with_copies(docs.select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
+    out = with_copies(docs, ["doc_id"])
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
@@ -158,5 +167,5 @@ def repeat_documents(docs: DataFrame) -> DataFrame:
 
     Rows without words are in no mix.
     """
-    out = with_copies(docs).where("__copies > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = with_copies(docs, docs.columns).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
