@@ -15,6 +15,8 @@ p-value:
 * serial correlation of neighbouring characters' places in the alphabet; the null is at
   least ``SERIAL`` in size.
 
+The work on a text is in proportion to its length and its matches.
+
 A token's p-value is the largest of the three (all must be rejected). Over all tokens of a
 length class, Benjamini-Hochberg at rate ``RATE`` decides, so what is found in short tokens
 is not paid for by long ones. p-values are counted in bins of 1/64 of a decade, rounded up.
@@ -49,25 +51,78 @@ CLASSES = (20, 32, 48, 96)
 PER_DECADE, MOST = 64, 4095
 
 
-def _found(text: Column, pattern: str, keep=None, group: int = 0) -> Column:
-    """array<struct<begin, end>> of the leftmost non-overlapping matches, in code points.
+#: Elements that are scanned in one go; longer arrays are scanned in blocks of so many, and then the blocks' totals.
+BLOCK = 256
+SPAN = "array<struct<begin:int,end:int,token:string>>"
+#: Beyond any place in a text.
+FAR = 2**31 - 1
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _grown(values: Column, first: Column, merge) -> Column:
+    start = F.struct(first.alias("so_far"), F.slice(F.array(first), 1, 0).alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(merge(acc["so_far"], v).alias("so_far"), F.concat(acc["out"], F.array(acc["so_far"])).alias("out")))["out"]
+
+
+def _running(values: Column, first: Column, merge) -> Column:
+    """Before each element of ``values`` what the elements before it give, from ``first`` on by the associative ``merge``.
+
+    An array that grows by one element is copied, so this is done inside blocks and over the
+    blocks' totals: a million elements cost some hundred copies each.
+    """
+
+    def in_blocks(blocks: Column) -> Column:
+        bases = _grown(F.transform(blocks, lambda block: F.aggregate(block, first, merge)), first, merge)
+        return F.flatten(F.zip_with(blocks, bases, lambda block, base: F.transform(_grown(block, first, merge), lambda v: merge(base, v))))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), lambda b: F.slice(v, b, BLOCK))
+        return F.when(F.size(v) > BLOCK, _let(blocks, in_blocks)).otherwise(_grown(v, first, merge))
+
+    return _let(values, whole)
 
-    The first place of a match's own text behind the previous match is where it matched: the
-    pattern would match at any such place, and the match is the leftmost.
+
+def _spans(text: Column, pattern: str, matches: Column) -> Column:
+    """array<struct<begin, end, token>>, in code points, of the ``matches`` that the pattern has in the text.
+
+    Splitting at the matches gives what lies between them, so a match begins where the lengths of
+    both, up to it, end.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    tested = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pairs = F.arrays_zip(whole.alias("m"), tested.alias("g"))
-    none = F.array().cast("array<struct<begin:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = F.call_function("locate", x["m"], text, acc["at"])
-        end = begin + F.length(x["m"])
-        here = F.array(F.struct((begin - 1).alias("begin"), (end - 1).alias("end")))
-        return F.struct(end.alias("at"), (F.concat(acc["found"], here) if keep is None else F.when(keep(x["g"]), F.concat(acc["found"], here)).otherwise(acc["found"])).alias("found"))
+    def placed(steps: Column) -> Column:
+        before = _running(F.transform(steps, lambda x: x["gap"] + F.length(x["token"])), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(steps, before, lambda x, at: F.struct((at + x["gap"]).alias("begin"), (at + x["gap"] + F.length(x["token"])).alias("end"), x["token"].alias("token")))
 
-    folded = F.aggregate(pairs, F.struct(F.lit(1).alias("at"), none.alias("found")), step)["found"]
-    return F.when(F.size(whole) > 0, folded).otherwise(none)
+    gaps = F.transform(F.split(text, pattern), lambda gap: F.length(gap))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("token")))
+    return F.when(F.size(matches) > 0, _let(steps, placed)).otherwise(F.array().cast(SPAN))
+
+
+def _free(tokens: Column, base: Column) -> Column:
+    """Those of ``tokens`` that overlap no span of ``base``.
+
+    In the order of their beginnings, a token overlaps a span before it if the furthest end so far
+    lies beyond its begin, and one behind it if the nearest begin lies before its end.
+    """
+    marks = F.array_sort(
+        F.concat(
+            F.transform(base, lambda s: F.struct(s["begin"].alias("begin"), F.lit(0).alias("is_token"), s["end"].alias("end"), F.lit("").alias("token"))),
+            F.transform(tokens, lambda s: F.struct(s["begin"].alias("begin"), F.lit(1).alias("is_token"), s["end"].alias("end"), s["token"].alias("token"))),
+        )
+    )
+
+    def free(m: Column) -> Column:
+        reach = _running(F.transform(m, lambda x: F.when(x["is_token"] == 0, x["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        ahead = F.reverse(_running(F.reverse(F.transform(m, lambda x: F.when(x["is_token"] == 0, x["begin"]).otherwise(FAR))), F.lit(FAR), lambda a, b: F.least(a, b)))
+        near = F.zip_with(reach, ahead, lambda r, a: F.struct(r.alias("reach"), a.alias("ahead")))
+        marked = F.zip_with(m, near, lambda x, n: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["token"].alias("token"), ((x["is_token"] == 1) & (n["reach"] <= x["begin"]) & (n["ahead"] >= x["end"])).alias("free")))
+        return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["token"].alias("token")))
+
+    return F.when(F.size(tokens) == 0, F.array().cast(SPAN)).when(F.size(base) == 0, tokens).otherwise(_let(marks, free))
 
 
 def _below(x: Column) -> Column:
@@ -77,53 +132,68 @@ def _below(x: Column) -> Column:
     return F.when(x < 0, tail).otherwise(1 - tail)
 
 
-def _p_value(token: Column, alphabet: str, coincidence: float) -> Column:
-    k, n = len(alphabet), F.length(token).cast("double")
-    letters = F.split(token, "")
-    squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda total, c: total + F.pow(n - F.length(F.call_function("replace", token, c, F.lit(""))), F.lit(2.0)))
-    shift = n * (k * coincidence - 1)
-    uniform = _below((squares * k / n - n - (k - 1) - shift) / F.sqrt(2 * (k - 1 + 2 * shift)))
-    half = k // 2
-    sides = F.translate(token, alphabet, "0" * half + "1" * (k - half))
-    ones = F.length(F.call_function("replace", sides, F.lit("0"), F.lit(""))).cast("double")
-    cross = 2 * ones * (n - ones)
-    spread = F.sqrt(cross * (cross - n) / (n * n * (n - 1)))
-    z = F.abs(F.regexp_count(sides, F.lit("0+|1+")) - 1 - cross / n) / spread
-    runs = F.when(cross > n, _below(z - RUNS * F.sqrt(n))).otherwise(1.0)
-    places = F.transform(letters, lambda c: F.call_function("locate", c, F.lit(alphabet)).cast("double"))
-    mean = F.aggregate(places, F.lit(0.0), lambda total, v: total + v) / n
-    centred = F.transform(places, lambda v: v - mean)
-    power = F.aggregate(centred, F.lit(0.0), lambda total, v: total + v * v)
-    size = F.length(token)
-    lagged = F.aggregate(F.zip_with(F.slice(centred, 1, size - 1), F.slice(centred, 2, size - 1), lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
-    serial = F.when(power > 0, _below((F.abs(lagged / power) - SERIAL) * F.sqrt(n))).otherwise(1.0)
-    return F.greatest(uniform, runs, serial, F.lit(1e-60))
+def _encoding(token: Column) -> Column:
+    """(alphabet, sides, k, c) of the smallest encoding that holds the token; null if none does. ``sides`` tells lower from upper half."""
+    out = F.lit(None)
+    for _, pattern, alphabet, coincidence in reversed(ENCODINGS):
+        k, half = len(alphabet), len(alphabet) // 2
+        held = F.struct(F.lit(alphabet).alias("alphabet"), F.lit("0" * half + "1" * (k - half)).alias("sides"), F.lit(float(k)).alias("k"), F.lit(coincidence).alias("c"))
+        out = F.when(token.rlike(pattern), held).otherwise(out)
+    return out
+
+
+def _p_value(token: Column, e: Column) -> Column:
+    n = F.length(token).cast("double")
+
+    def from_letters(letters: Column) -> Column:
+        squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda total, c: total + F.pow(n - F.length(F.call_function("replace", token, c, F.lit(""))), F.lit(2.0)))
+        shift = n * (e["k"] * e["c"] - 1)
+        uniform = _below((squares * e["k"] / n - n - (e["k"] - 1) - shift) / F.sqrt(2 * (e["k"] - 1 + 2 * shift)))
+        # Sums of places, of their squares and of products of neighbours: centred sums follow from them.
+        zero = F.lit(0).cast("long")
+        start = F.struct(zero.alias("before"), zero.alias("first"), zero.alias("one"), zero.alias("two"), zero.alias("next"))
+
+        def step(acc: Column, c: Column) -> Column:
+            place = F.call_function("locate", c, e["alphabet"]).cast("long")
+            return _let(
+                place,
+                lambda v: F.struct(v.alias("before"), F.when(acc["first"] == 0, v).otherwise(acc["first"]).alias("first"), (acc["one"] + v).alias("one"), (acc["two"] + v * v).alias("two"), (acc["next"] + acc["before"] * v).alias("next")),
+            )
+
+        def serial(s: Column) -> Column:
+            mean = s["one"] / n
+            power = s["two"] - n * mean * mean
+            lagged = s["next"] - mean * (2 * s["one"] - s["first"] - s["before"]) + (n - 1) * mean * mean
+            return F.when(power > 1e-9, _below((F.abs(lagged / power) - SERIAL) * F.sqrt(n))).otherwise(1.0)
+
+        return F.greatest(uniform, _let(F.aggregate(letters, start, step), serial))
+
+    def runs(sides: Column) -> Column:
+        ones = F.length(F.call_function("replace", sides, F.lit("0"), F.lit(""))).cast("double")
+        cross = 2 * ones * (n - ones)
+        z = F.abs(F.regexp_count(sides, F.lit("0+|1+")) - 1 - cross / n) / F.sqrt(cross * (cross - n) / (n * n * (n - 1)))
+        return F.when(cross > n, _below(z - RUNS * F.sqrt(n))).otherwise(1.0)
+
+    sides = F.call_function("translate", token, e["alphabet"], e["sides"])
+    return F.greatest(_let(F.split(token, ""), from_letters), _let(sides, runs), F.lit(1e-60))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
     """doc_id, base: array<struct<begin, kind, end>> in order, and candidates: array<struct<begin, end, stratum, bin>>."""
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(
-        "doc_id",
-        "text",
-        _found(text, ASSIGN, lambda g: F.length(g) >= 12, 2).alias("f0"),
-        _found(text, ACCESS).alias("f1"),
-        _found(text, HEX).alias("f2"),
-        _found(text, TOKEN).alias("f3"),
-    )
+    found = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    rows = rows.select("doc_id", "text", *[found(p).alias(f"m{i}") for i, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
+    assigned = F.zip_with(_spans(text, ASSIGN, F.col("m0")), found(ASSIGN, 2), lambda s, g: F.struct(s.alias("s"), (F.length(g) >= 12).alias("long")))
+    kept = F.transform(F.filter(assigned, lambda x: x["long"]), lambda x: x["s"])
+    f0 = F.when(F.size("m0") > 0, kept).otherwise(F.array().cast(SPAN))
+    rows = rows.select("doc_id", f0.alias("f0"), *[_spans(text, p, F.col(f"m{i}")).alias(f"f{i}") for i, p in ((1, ACCESS), (2, HEX), (3, TOKEN))])
     as_spans = lambda i: F.transform(f"f{i}", lambda s: F.struct(s["begin"].alias("begin"), F.lit(i).alias("kind"), s["end"].alias("end")))
-    rows = rows.withColumn("base", F.array_sort(F.concat(as_spans(0), as_spans(1), as_spans(2))))
-    free = F.filter("f3", lambda s: ~F.exists("base", lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"])))
-    tokens = F.transform(free, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.substring(text, s["begin"] + 1, s["end"] - s["begin"]).alias("token")))
-    rows = rows.select("doc_id", "base", F.filter(tokens, lambda t: t["token"].rlike("[0-9]") & t["token"].rlike("[A-Za-z]")).alias("tokens"))
+    rows = rows.select("doc_id", F.array_sort(F.concat(as_spans(0), as_spans(1), as_spans(2))).alias("base"), F.filter("f3", lambda t: t["token"].rlike("[0-9]") & t["token"].rlike("[A-Za-z]")).alias("f3"))
+    rows = rows.select("doc_id", "base", _free(F.col("f3"), F.col("base")).alias("tokens"))
 
     def judged(t: Column) -> Column:
-        p = None
-        for _, pattern, alphabet, coincidence in ENCODINGS:
-            value = _p_value(t["token"], alphabet, coincidence)
-            p = F.when(t["token"].rlike(pattern), value) if p is None else p.when(t["token"].rlike(pattern), value)
-        p = p.otherwise(1.0)
+        p = _let(_encoding(t["token"]), lambda e: F.when(e.isNull(), 1.0).otherwise(_p_value(t["token"], e)))
         n = F.length(t["token"])
         stratum = F.lit(0)
         for i, low in enumerate(CLASSES):

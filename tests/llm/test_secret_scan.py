@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import string
+import time
 
 from lodestrand.llm import secret_scan as S
 from tests.llm.conftest import frame, sentence
@@ -71,3 +74,87 @@ def test_odd_rows(odd, odd_rows, empty):
         if r.doc_id is not None:
             assert r.base_sha256 == base(texts[r.doc_id])[1]
     assert S.secret_digest(empty).collect() == []
+
+
+def below(x):
+    return 0.5 * math.erfc(-x / math.sqrt(2))
+
+
+def p_value(token):
+    """The three tests by their definitions, with an exact normal distribution."""
+    _, _, alphabet, c = next(e for e in S.ENCODINGS if re.search(e[1], token))
+    k, n = len(alphabet), len(token)
+    expected = n / k
+    chi2 = sum((token.count(a) - expected) ** 2 / expected for a in alphabet)
+    shift = n * (k * c - 1)
+    uniform = below((chi2 - (k - 1) - shift) / math.sqrt(2 * (k - 1 + 2 * shift)))
+    place = [alphabet.index(ch) for ch in token]
+    high = [p >= k // 2 for p in place]
+    runs, m = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    cross = 2 * m * (n - m)
+    runs_p = 1.0
+    if cross > n:
+        runs_p = below(abs(runs - 1 - cross / n) / math.sqrt(cross * (cross - n) / (n * n * (n - 1))) - S.RUNS * math.sqrt(n))
+    mean = sum(place) / n
+    power = sum((p - mean) ** 2 for p in place)
+    serial = below((abs(sum((a - mean) * (b - mean) for a, b in zip(place, place[1:])) / power) - S.SERIAL) * math.sqrt(n)) if power else 1.0
+    return max(uniform, runs_p, serial, 1e-60)
+
+
+def accepted(found):
+    """Benjamini-Hochberg: the p-values of (p, ...) that are called random."""
+    ordered = sorted(found)
+    last = max((i for i, p in enumerate(ordered, 1) if p <= S.RATE * i / len(ordered)), default=0)
+    return set(ordered[:last])
+
+
+def test_p_values_and_thresholds_by_their_definitions(spark):
+    rng = random.Random(21)
+    b62 = string.digits + string.ascii_letters
+    rows = []
+    for i in range(300):
+        n = rng.choice([20, 24, 30, 40, 60, 100, 150])
+        token = "".join(rng.choice(b62[: rng.choice([16, 36, 62])]) for _ in range(n - 2)) + "zZ" if i % 2 else ("part_of_name_" * 12)[: n - 2] + "a1"
+        rows.append((i, f"see {token}1 here", "en", "s"))
+    by_class = {}
+    scanned = S.cut(S._scan(frame(spark, rows)), "scanned")
+    for r in scanned.collect():
+        text = rows[r.doc_id][1]
+        for c in r.candidates:
+            want = -math.log10(p_value(text[c.begin : c.end])) * S.PER_DECADE
+            if want < 5 * S.PER_DECADE:
+                assert abs(c.bin - want) <= 2, (text, c.bin, want)
+            assert c.stratum == max(i for i, low in enumerate(S.CLASSES) if c.end - c.begin >= low)
+            by_class.setdefault(c.stratum, []).append((10 ** (-c.bin / S.PER_DECADE), c.bin))
+    least = S._thresholds(scanned)
+    assert len(by_class) == 4
+    for stratum, found in by_class.items():
+        passed = accepted([p for p, _ in found])
+        bins = [b for p, b in found if p in passed]
+        assert least.get(stratum) == (min(bins) if bins else None)
+
+
+def spans_of(text):
+    """All tokens that the battery may look at, by comparing each with each base span."""
+    found, _ = base(text)
+    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(S.TOKEN, text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [(a, b) for a, b, _ in tokens if not any(x < b and a < y for x, _, _, y in found)]
+
+
+def test_tokens_beside_base_spans(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)  # many levels of blocks
+    rng = random.Random(31)
+    pieces = ["deadbeefdeadbeef99", "secret=abcdefghijkl012", "AKIA" + "A1" * 9, "Zx" * 11 + "7", "word", "ghijklmnopqrstuvwxyz0-" + "ab12" * 6, "é"]
+    rows = [(i, "".join(rng.choice(pieces) + rng.choice([" ", " ", "/", "-", "\n"]) for _ in range(rng.randrange(60))), "en", "s") for i in range(60)]
+    for r in S.cut(S._scan(frame(spark, rows)), "scanned").collect():
+        assert [(c.begin, c.end) for c in r.candidates] == spans_of(rows[r.doc_id][1])
+        assert [(b.begin, b.kind, b.end) for b in r.base] == [(a, k, e) for a, k, _, e in base(rows[r.doc_id][1])[0]]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 12_000
+    text = " ".join(f"{i:018x} Tok{i}enQwErTyUiOpAsDf" for i in range(n))
+    began = time.perf_counter()
+    (r,) = S.secret_digest(frame(spark, [(1, text, "en", "s")])).collect()
+    assert r.n_hex == n and r.base_sha256 == base(text)[1]
+    assert time.perf_counter() - began < 60
