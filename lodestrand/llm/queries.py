@@ -135,17 +135,18 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_chat_format",
     """
     WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn // 64, 0)::BIGINT AS piece, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-    people AS (SELECT DISTINCT conv_id, piece, role AS perspective FROM turns WHERE role <> 'system'),
+    parted AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id, piece ORDER BY turn NULLS FIRST, role, text) - 1) // 512)::BIGINT AS part FROM turns),
+    people AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
     headed AS (
       SELECT t.*, p.perspective, CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END AS header
-      FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.piece = p.piece),
+      FROM parted t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
     shown AS (SELECT *, '<|im_start|>' || header || chr(10) || text || '<|im_end|>' || chr(10) AS r FROM headed),
     placed AS (
-      SELECT *, coalesce(sum(length(r)) OVER (PARTITION BY conv_id, piece, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM shown)
-    SELECT conv_id, piece, 0::BIGINT AS part, perspective, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_masked_in,
+      SELECT *, coalesce(sum(length(r)) OVER (PARTITION BY conv_id, piece, part, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM shown)
+    SELECT conv_id, piece, part, perspective, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_masked_in,
            string_agg(r, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
            coalesce(string_agg((begin_at + 13 + length(header))::VARCHAR || ':' || (begin_at + length(r) - 1)::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = perspective), '') AS spans
-    FROM placed GROUP BY conv_id, piece, perspective
+    FROM placed GROUP BY conv_id, piece, part, perspective
     """,
 )
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

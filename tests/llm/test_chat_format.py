@@ -85,3 +85,20 @@ def test_crowded_pieces_are_parted_in_order(spark):
     sizes = {r.part: r.n_turns for r in out if r.conv_id == 1 and r.piece == 0}
     assert sizes == {i: min(50, turns - 50 * i) for i in range(-(-turns // 50))}
     assert {r.part for r in out if r.conv_id in (2, 4) or r.piece == 1} == {0}
+
+
+def test_equals_its_sql(spark, tmp_path):
+    """More than 64 turn numbers, silent stretches, and more than 512 rows of one turn number."""
+    import duckdb
+
+    from lodestrand.llm.queries import ORACLE_SQL, QUERIES
+
+    rows = [(1, t, "ann" if t < 70 else "bob", f"a{t}") for t in range(130)] + [(2, 5, "ann", f"t{i:04}") for i in range(600)] + [(2, None, None, "é"), (2, 99, "cat", "c"), (None, 0, "dan", None), (3, 1, "system", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["op10_chat_format"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(ORACLE_SQL["op10_chat_format"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r[n] for n in names)) for r in out.collect())
