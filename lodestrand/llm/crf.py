@@ -57,7 +57,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _blocks(sequences: list[tuple[np.ndarray, int]]) -> Iterator[list[tuple[np.ndarray, int]]]:
+Sequence_ = tuple[np.ndarray, np.ndarray]
+
+
+def _blocks(sequences: list[Sequence_]) -> Iterator[list[Sequence_]]:
     """Sequences in runs of at most ``CELLS`` lines, or one sequence, when padded to the first, the longest."""
     at = 0
     while at < len(sequences):
@@ -66,15 +69,15 @@ def _blocks(sequences: list[tuple[np.ndarray, int]]) -> Iterator[list[tuple[np.n
         at += n
 
 
-def train(sequences: list[tuple[Sequence[int], int]], features: int, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
-    """Maximum conditional likelihood by Adam, with an L2 penalty. Each sequence comes with one
-    label for all of its lines. The likelihood of a sequence counts as its mean over lines, so
-    long texts don't decide alone.
+def train(sequences: list[tuple[Sequence[int], int | Sequence[int]]], features: int, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Crf:
+    """Maximum conditional likelihood by Adam, with an L2 penalty. Each sequence comes with a label
+    for each line, or one for all of its lines. The likelihood of a sequence counts as its mean
+    over lines, so long texts don't decide alone.
 
     Every line counts. Sequences are gone through in blocks, so that memory is bounded by
-    ``CELLS`` lines or the longest sequence, besides 4 bytes a line.
+    ``CELLS`` lines or the longest sequence, besides 5 bytes a line.
     """
-    known = [(np.asarray(m, dtype=np.int32), y) for m, y in sequences if len(m)]
+    known = [(np.asarray(m, dtype=np.int32), np.broadcast_to(np.asarray(y, dtype=np.int8), (len(m),))) for m, y in sequences if len(m)]
     if not known:
         return Crf(np.zeros((features, 2)), np.zeros((2, 2)))
     known.sort(key=lambda s: -len(s[0]))
@@ -85,10 +88,11 @@ def train(sequences: list[tuple[Sequence[int], int]], features: int, steps: int
     blocks = []
     for block in _blocks(known):
         lengths = np.array([len(m) for m, _ in block])
-        of = np.zeros((lengths[0], len(block)), dtype=np.int32)
-        for i, (m, _) in enumerate(block):
+        of, labels = np.zeros((lengths[0], len(block)), dtype=np.int32), np.zeros((lengths[0], len(block)), dtype=np.int8)
+        for i, (m, y) in enumerate(block):
             of[: len(m), i] = np.searchsorted(masks, m)
-        blocks.append((of, lengths, np.array([label for _, label in block])))
+            labels[: len(m), i] = y
+        blocks.append((of, lengths, labels))
     theta = np.zeros(features * 2 + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -104,7 +108,7 @@ def train(sequences: list[tuple[Sequence[int], int]], features: int, steps: int
 
 
 def _add_gradient(of: np.ndarray, lengths: np.ndarray, y: np.ndarray, scores: np.ndarray, tr: np.ndarray, grad_m: np.ndarray, grad_t: np.ndarray) -> None:
-    """Adds a block's gradient by mask and by pair of labels. ``of`` [line, sequence] is the place of a line's mask."""
+    """Adds a block's gradient by mask and by pair of labels. ``of`` and ``y`` [line, sequence] are the place of a line's mask, and its label."""
     longest, n = of.shape
     weight = 1.0 / lengths
     alive = np.searchsorted(-lengths, -np.arange(longest), side="left").tolist()  # sequences longer than t
@@ -122,9 +126,9 @@ def _add_gradient(of: np.ndarray, lengths: np.ndarray, y: np.ndarray, scores: np
     for t in range(longest):
         k = alive[t]
         d = -np.exp(alpha[t, :k] + beta[t, :k] - z[:k, None]) * weight[:k, None]
-        d[np.arange(k), y[:k]] += weight[:k]
+        d[np.arange(k), y[t, :k]] += weight[:k]
         np.add.at(grad_m, of[t, :k], d)
         if t:
             pair = np.exp(alpha[t - 1, :k, :, None] + tr[None] + (e[t, :k] + beta[t, :k])[:, None, :] - z[:k, None, None])
             grad_t -= (pair * weight[:k, None, None]).sum(axis=0)
-            np.add.at(grad_t, (y[:k], y[:k]), weight[:k])
+            np.add.at(grad_t, (y[t - 1, :k], y[t, :k]), weight[:k])

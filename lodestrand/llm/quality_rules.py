@@ -4,7 +4,8 @@ The lines of a text are a sequence; a linear-chain conditional random field mark
 content or boilerplate, decoded by Viterbi. A text whose share of words in content lines
 is below ``CONTENT_SHARE`` is not kept. The field is trained here, on a bounded sample of
 labelled documents: every line of a document of quality 1 counts as content, of quality 0
-as boilerplate.
+as boilerplate. Labels are of documents, so no text shows where one kind of line gives way to
+the other; for that, good and bad texts are also joined end to end, in either order.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from lodestrand.llm import crf
 from lodestrand.llm.words import BLANKS, U64, chunks, covered, mix, split, window_hashes, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
+#: Bits of the marks of a text's first and last line.
+FIRST, LAST = 1 << 16, 1 << 17
 REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 CONTENT_SHARE = 0.5
 #: Labelled documents that the field is trained on, at most about this many.
@@ -116,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     # Half of the sample for either label, so that the rarer one is seen; weights undo that below.
     share = F.when(F.col("quality") == 1, min(1.0, sample / 2 / counts.get(1, 1))).otherwise(min(1.0, sample / 2 / counts.get(0, 1)))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("line sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(draw < share).dropDuplicates(["doc_id"]).limit(2 * sample)
+    # The draw's bound is met on average only; the limit, far above it, takes the least draws.
+    chosen = known.where(draw < share).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(draw, "doc_id").limit(2 * sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +132,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
 
     found = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, masks binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["quality"], r["masks"]))
-    return crf.train([(np.frombuffer(r["masks"], dtype=">i4"), r["quality"]) for r in found], FEATURES)
+    texts = [(np.frombuffer(r["masks"], dtype=">i4").astype(np.int32), r["quality"]) for r in found if r["masks"]]
+    return crf.train(texts + joined(texts), FEATURES)
+
+
+def joined(texts: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text of the more frequent label joined to one of the other, by turns before and behind it; with a label for each line."""
+    kinds = [[t for t, y in texts if y == label] for label in (0, 1)]
+    out = []
+    for i in range(max(map(len, kinds)) if all(kinds) else 0):
+        parts = [(kinds[label][i % len(kinds[label])].copy(), label) for label in ((0, 1) if i % 2 else (1, 0))]
+        parts[0][0][-1] &= ~LAST
+        parts[1][0][0] &= ~FIRST
+        out.append((np.concatenate([m for m, _ in parts]), np.repeat([y for _, y in parts], [len(m) for m, _ in parts])))
+    return out
 
 
 def judge(docs: DataFrame, field: crf.Crf) -> DataFrame:

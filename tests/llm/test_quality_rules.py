@@ -99,3 +99,40 @@ def test_blocks_make_no_difference(monkeypatch):
     monkeypatch.setattr(crf, "CELLS", 90)
     many = crf.train(sequences, 6, steps=20)
     assert np.allclose(one.emission, many.emission) and np.allclose(one.transition, many.transition)
+
+
+def test_lines_are_split_where_they_change(spark):
+    """A good text with a boilerplate head, middle or end: the field marks those lines and no others."""
+    rng = random.Random(12)
+    rows, labels = labelled(spark, rng)
+    field = Q.train(frame(spark, rows), labels)
+    bad = lambda: "### " + sentence(rng, 6).replace(" ", " | ") + " $$$"
+    good = lambda: sentence(rng, 12).capitalize() + "."
+    for at, n in ((0, 5), (9, 4), (15, 5), (0, 0)):
+        lines = [bad() if at <= i < at + n else good() for i in range(20)]
+        masks, *_ = Q.lines_of("\n".join(lines).encode())
+        assert field.decode(masks, {}) == [0 if at <= i < at + n else 1 for i in range(20)]
+
+
+def test_gradient_equals_enumeration():
+    """The gradient of the mean log likelihood against differences of it, by all labellings."""
+    rng = np.random.default_rng(3)
+    of, lengths = rng.integers(0, 4, size=(4, 3)).astype(np.int32), np.array([4, 3, 1])
+    y = rng.integers(0, 2, size=(4, 3)).astype(np.int8)
+    scores, tr = rng.normal(size=(4, 2)), rng.normal(size=(2, 2))
+
+    def likelihood(scores, tr):
+        total = 0.0
+        for i, n in enumerate(lengths):
+            value = lambda labels: sum(scores[of[t, i], labels[t]] for t in range(n)) + sum(tr[a, b] for a, b in itertools.pairwise(labels))  # noqa: B023, E731
+            total += (value(y[:n, i].tolist()) - np.logaddexp.reduce([value(ls) for ls in itertools.product((0, 1), repeat=int(n))])) / n
+        return total
+
+    grad_m, grad_t = np.zeros((4, 2)), np.zeros((2, 2))
+    crf._add_gradient(of, lengths, y, scores, tr, grad_m, grad_t)
+    for grad, which in ((grad_m, 0), (grad_t, 1)):
+        for spot in np.ndindex(grad.shape):
+            pair = [scores.copy(), tr.copy()], [scores.copy(), tr.copy()]
+            pair[0][which][spot] += 1e-5
+            pair[1][which][spot] -= 1e-5
+            assert abs((likelihood(*pair[0]) - likelihood(*pair[1])) / 2e-5 - grad[spot]) < 1e-6
