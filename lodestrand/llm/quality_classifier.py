@@ -2,7 +2,10 @@
 
 Level 0: a document classifier gives two pieces of evidence, the probability of good
 quality and that of toxicity: logistic regressions over the presence of words and of
-shape marks, fitted on a bounded sample of labelled documents.
+shape marks, fitted on a bounded sample of labelled documents. The sample is dealt to
+``FOLDS`` folds by a hash of the text, and a model is fitted without each fold; it gives that
+fold's evidence, so no document's evidence comes from a model that saw its label. All other
+documents are judged by a model of the whole sample.
 
 Levels 1 and 2: for each host, and for each path of a host, grouped aggregates of the
 evidence give a posterior mean. A host's mean shrinks to the global prior by
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.tables import cut, fits, hint_if
+from lodestrand.llm.tables import cut, hint_if, measured
 from lodestrand.llm.words import LOWER, U64, Words, chunks, mix, separator_table, split, word_hashes
 
 BITS = 18
 SLOTS = 1 << BITS
 #: Labelled documents the classifier is fitted on, at most about this many.
 SAMPLE_DOCUMENTS = 12000
+FOLDS = 3
 ERRORS = 2.0
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (5, 7)
@@ -94,43 +98,100 @@ def slots_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32[SLOTS + marks, heads]
+    weights: np.ndarray  # float32[folds + 1, SLOTS + marks, heads]: fitted without each fold, and on all
+    #: Ids of the sampled documents; (doc_id).
+    sample: DataFrame | None = None
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+    def probabilities(self, texts: list[bytes], folds: list[int | None]) -> np.ndarray:
         first, slot = slots_of(texts)
-        total = np.add.reduceat(self.weights[slot].astype(np.float64), first[:-1], axis=0)
+        total = np.add.reduceat(self.weights[-1][slot].astype(np.float64), first[:-1], axis=0)
+        for i, fold in enumerate(folds):
+            if fold is not None:
+                total[i] = self.weights[fold][slot[first[i] : first[i + 1]]].sum(axis=0, dtype=np.float64)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 15, ridge: float = 3e-3) -> np.ndarray:
+def _least(f, x: np.ndarray, steps: int = 40, memory: int = 8) -> np.ndarray:
+    """Where ``f``, which gives value and gradient, is least, from ``x`` on (L-BFGS with halved steps)."""
+    value, g = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, used = g.copy(), []
+        for dx, dg in reversed(pairs):
+            a = (dx @ q) / (dx @ dg)
+            used.append(a)
+            q -= a * dg
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.abs(g).max()))
+        for (dx, dg), a in zip(pairs, reversed(used)):
+            q += (a - (dg @ q) / (dx @ dg)) * dx
+        slope, step = float(g @ q), 1.0
+        if slope <= 0:
+            break
+        while True:
+            new_value, new_g = f(x - step * q)
+            if new_value <= value - 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        if new_value > value:
+            break
+        dx, dg = -step * q, new_g - g
+        gained, x, value, g = value - new_value, x + dx, new_value, new_g
+        if dx @ dg > 0:
+            pairs = [*pairs[1 - memory :], (dx, dg)] if len(pairs) >= memory else [*pairs, (dx, dg)]
+        if gained < 1e-6 * abs(value):
+            break
+    return x
+
+
+def _tally(rows: list[np.ndarray], some: int = 500) -> np.ndarray:
+    """How many of the rows have each slot."""
+    out = np.zeros(SLOTS + _MARKS)
+    for i in range(0, len(rows), some):
+        out += np.bincount(np.concatenate(rows[i : i + some]), minlength=len(out))
+    return out
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, ridge: float = 3e-4) -> np.ndarray:
     """Logistic regression over present slots, each scaled by its log ratio of document frequencies in the two classes.
 
     The ratio counts as far as it exceeds ``ERRORS`` of its standard errors, so chance words of
     the sample have weight 0, also the very many of a long text, and a word of toxic documents
-    is not crowded out by them. Adagrad in a fixed order.
+    is not crowded out by them. What is left is a sparse matrix; the penalty of a slot grows
+    with the documents that have it.
     """
-    w, g2, size = np.zeros(SLOTS + _MARKS), np.full(SLOTS + _MARKS, 1e-2), SLOTS + _MARKS
+    size, w = SLOTS + _MARKS, np.zeros(SLOTS + _MARKS)
     if not rows:
         return w
-    n_one = int(y.sum())
-    one = np.bincount(np.concatenate([r for r, t in zip(rows, y) if t] or [np.empty(0, dtype=np.int32)]), minlength=size)
-    zero = np.bincount(np.concatenate([r for r, t in zip(rows, y) if not t] or [np.empty(0, dtype=np.int32)]), minlength=size)
+    one = _tally([r for r, t in zip(rows, y) if t])
+    zero = _tally(rows) - one
+    n_one = float(y.sum())
     scale = np.log((one + 1) / (n_one + 2)) - np.log((zero + 1) / (len(rows) - n_one + 2))
     scale = np.sign(scale) * np.maximum(np.abs(scale) - ERRORS * np.sqrt(1 / (one + 1) + 1 / (zero + 1)), 0.0)
     bias = SLOTS  # the mark that every text has; it is not shrunk
     scale[bias] = 1.0
-    shrink = np.full(size, ridge)
-    shrink[bias] = 0.0
-    rng = np.random.default_rng(11)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            slots = rows[i]
-            x = scale[slots]
-            p = 1 / (1 + np.exp(-min(max(float(w[slots] @ x), -30.0), 30.0)))
-            g = (p - y[i]) * x + shrink[slots] * w[slots]
-            g2[slots] += g * g
-            w[slots] -= 0.2 * g / np.sqrt(g2[slots])
-    return w * scale
+    used = np.flatnonzero(scale)
+    place = np.full(size, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    # The rows' entries that are left, text by text, so that the whole sample is never spread out.
+    columns = [c[c >= 0] for c in (place[r] for r in rows)]
+    column, of = np.concatenate(columns), np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    x = scale[used]
+    shrink = ridge * (one + zero)[used]
+    shrink[used == bias] = 0.0
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(of, weights=(v * x)[column], minlength=len(rows))
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        value = float((np.logaddexp(0, z) - y * z).sum() + (shrink * v * v).sum() / 2)
+        return value, x * np.bincount(column, weights=off[of], minlength=len(used)) + shrink * v
+
+    w[used] = x * _least(loss, np.zeros(len(used)))
+    return w
+
+
+def fold_of(text: Column) -> Column:
+    """The fold of a text; copies share it."""
+    return F.pmod(F.xxhash64(text, F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Model:
@@ -142,34 +203,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     known = labels.where("quality in (0, 1) and toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.min("toxic").cast("int").alias("toxic"))
     count = known.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(draw < min(1.0, sample / max(1, count))).limit(2 * sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    # The draw's bound is met on average only; the limit, far above it, takes the least draws.
+    chosen = cut(known.where(draw < min(1.0, sample / max(1, count))).orderBy(draw, "doc_id").limit(2 * sample), "chosen")
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), fold_of(text).alias("fold")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
                 first, slot = slots_of(texts)
                 held = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality"), part.column("toxic"), pa.array(held, pa.binary())], names=["doc_id", "quality", "toxic", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *[part.column(c) for c in ("quality", "toxic", "fold")], pa.array(held, pa.binary())], names=["doc_id", "quality", "toxic", "fold", "slots"])
 
-    found = rows.select("doc_id", "quality", "toxic", "text").mapInArrow(run, "doc_id long, quality int, toxic int, slots binary").collect()
+    found = rows.select("doc_id", "quality", "toxic", "fold", "text").mapInArrow(run, "doc_id long, quality int, toxic int, fold int, slots binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["slots"])))
-    slots = [np.frombuffer(r["slots"], dtype=np.int32) for r in found]
-    heads = [fit(slots, np.array([r[h] for r in found], dtype=float)) for h in HEADS]
-    return Model(np.stack(heads, axis=1).astype(np.float32))
+    weights = np.zeros((FOLDS + 1, SLOTS + _MARKS, len(HEADS)))
+    for fold in range(FOLDS + 1):  # the last is no row's fold, so that model sees all
+        others = [r for r in found if r["fold"] != fold]
+        slots = [np.frombuffer(r["slots"], dtype=np.int32) for r in others]
+        for h, head in enumerate(HEADS):
+            weights[fold, :, h] = fit(slots, np.array([r[head] for r in others], dtype=float))
+    return Model(weights.astype(np.float32), chosen.select("doc_id"))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, host, path, e_quality, e_toxic) for ``docs(doc_id, text, host, path)``; evidence in millionths."""
+    weights = Model(model.weights)
+    rows = docs.select("doc_id", "host", "path", "text")
+    if model.sample is None:
+        rows = rows.withColumn("fold", F.lit(None).cast("int"))
+    else:  # at most twice the sample's bound of ids
+        sampled = F.broadcast(model.sample.select(F.col("doc_id").alias("sampled_id")))
+        rows = rows.join(sampled, F.col("doc_id") == F.col("sampled_id"), "left").withColumn("fold", F.when(F.col("sampled_id").isNotNull(), fold_of(F.col("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                p = np.rint(np.clip(model.probabilities(texts), 1e-4, 1 - 1e-4) * UNIT).astype(np.int64)
+                p = np.rint(np.clip(weights.probabilities(texts, part.column("fold").to_pylist()), 1e-4, 1 - 1e-4) * UNIT).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("path"), pa.array(p[:, 0]), pa.array(p[:, 1])], names=["doc_id", "host", "path", "e_quality", "e_toxic"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "host", "path", "text").mapInArrow(run, f"doc_id {kind}, host string, path string, e_quality long, e_toxic long")
+    return rows.select("doc_id", "host", "path", "text", "fold").mapInArrow(run, f"doc_id {kind}, host string, path string, e_quality long, e_toxic long")
 
 
 def _variances(groups: DataFrame, head: str) -> tuple[float, float]:
@@ -204,13 +278,13 @@ def combine(found: DataFrame) -> DataFrame:
     A null host is a site of its own, as is a null path of a host.
     """
     squares = [F.sum(F.col(f"e_{h}") * F.col(f"e_{h}")).alias(f"q_{h}") for h in HEADS]
-    paths = cut(found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"e_{h}").alias(f"t_{h}") for h in HEADS], *squares), "paths")
+    paths, counts = measured(found.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"e_{h}").alias(f"t_{h}") for h in HEADS], *squares), "paths")
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"{x}_{h}").alias(f"{x}_{h}") for x in "tq" for h in HEADS]), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"t_{h}").alias(h) for h in HEADS]).head()
     sites = paths.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("n").alias("n_path"), *[F.col(f"t_{h}").alias(f"path_{h}") for h in HEADS]).join(
         hosts.select(F.col("host").alias("hh"), F.col("n").alias("n_host"), *[F.col(f"t_{h}").alias(f"host_{h}") for h in HEADS]), F.col("h").eqNullSafe(F.col("hh"))
     ).drop("hh")
-    small = fits(sites, BROADCAST_SITES)
+    small = counts["rows"] <= BROADCAST_SITES
     out = found.join(hint_if(sites, small), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))).drop("h", "p")
     for h in HEADS:
         prior = (total[h] or 0) / max(1, total["n"] or 0) / UNIT
@@ -230,7 +304,7 @@ def combine(found: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_quality, p_toxic, e_quality, e_toxic, kept) for each row of ``docs(doc_id, text, host, path)``.
+    """(doc_id, p_quality, p_toxic, e_quality, e_toxic, kept) for each row of ``docs(doc_id, text, host, path)``; doc_ids are integers.
 
     kept: p_quality of at least 0.5 and p_toxic below 0.5. A null or empty text has the
     evidence of an empty text. Repeated rows get equal evidence; each is one of its site's
