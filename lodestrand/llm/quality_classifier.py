@@ -217,13 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
 
     found = rows.select("doc_id", "quality", "toxic", "fold", "text").mapInArrow(run, "doc_id long, quality int, toxic int, fold int, slots binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["slots"])))
-    weights = np.zeros((FOLDS + 1, SLOTS + _MARKS, len(HEADS)))
+    weights = np.zeros((FOLDS + 1, SLOTS + _MARKS, len(HEADS)), dtype=np.float32)
     for fold in range(FOLDS + 1):  # the last is no row's fold, so that model sees all
         others = [r for r in found if r["fold"] != fold]
         slots = [np.frombuffer(r["slots"], dtype=np.int32) for r in others]
         for h, head in enumerate(HEADS):
             weights[fold, :, h] = fit(slots, np.array([r[head] for r in others], dtype=float))
-    return Model(weights.astype(np.float32), chosen.select("doc_id"))
+    return Model(weights, chosen.select("doc_id"))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
