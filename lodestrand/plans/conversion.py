@@ -92,7 +92,7 @@ def tool_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d01_dedupe_spans")
 def dedupe_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as one conversation; repeated runs of 70 words are deleted. Sequential, so no SQL."""
+    """Documents of 40 groups as conversations; repeated runs of 70 words are deleted. Greedy, so no SQL."""
     rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("conv_id"), F.col("doc_id").alias("seq"), F.lit(False).alias("definer"), "text")
     return spans.dedupe_spans(rows, 70).select("conv_id", "seq", "changed", F.length("text").cast("long").alias("n_chars"))
 
