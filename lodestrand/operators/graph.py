@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +14,87 @@ from lodestrand.sources.tables import written
 DAMPING = 0.85
 
 
+#: Referring and defining files of a block of edges; a block's weights take 8 bytes an edge.
+SRC_FILES, DST_FILES = 512, 1024
+#: Names that are multiplied at once, and single products that are added at once.
+_NAMES, _PRODUCTS = 256, 1 << 22
+
+
 def symbol_edges(tags: DataFrame) -> DataFrame:
     """(src, dst, weight) of ``tags(rel_path, name, kind)``: a file that refers to a name points to each file that defines it.
 
     Weight: the name's multiplier times the integer root of the number of references. A
     defined name without references gives its files a loop of 0.1. Parallel edges add.
+
+    The weights are the product of two sparse matrices, files by names and names by files. It
+    is made in blocks of files, so a name with r referring and d defining files does not
+    become r * d rows that are shuffled and added; the rows that come out are the edges.
     """
-    defs = tags.where("kind = 'def'").select("name", F.col("rel_path").alias("dst")).distinct()
-    refs = tags.where("kind = 'ref'").groupBy("name", F.col("rel_path").alias("src")).agg(F.count(F.lit(1)).alias("n"))
-    definers = defs.groupBy("name").agg(F.count(F.lit(1)).alias("definers"))
-    joined = refs.join(defs.join(definers, "name"), "name")
-    used = joined.select("src", "dst", (edge_multiplier(F.col("name"), F.col("definers")) * F.floor(F.sqrt("n"))).alias("weight"))
-    loops = defs.join(refs.select("name").distinct(), "name", "left_anti").select(F.col("dst").alias("src"), "dst", F.lit(0.1).alias("weight"))
-    return used.unionByName(loops).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    uses = written(tags.groupBy("name", F.col("rel_path").alias("file")).agg(F.count_if(F.col("kind") == "ref").alias("n"), F.coalesce(F.bool_or(F.col("kind") == "def"), F.lit(False)).alias("defines")), "uses")
+    by_name = uses.groupBy("name").agg(F.count_if("defines").alias("definers"), F.bool_or(F.col("n") > 0).alias("used")).where("definers > 0")
+    names = written(by_name.select("name", "used", edge_multiplier(F.col("name"), F.col("definers")).alias("factor"), F.monotonically_increasing_id().alias("id")), "names")
+    met = names.where("used and name is not null").select("name", "factor", "id")
+    # A file's loops are a name of its own, which it refers to and defines.
+    alone = uses.where("defines").join(met, "name", "left_anti").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    loops = written(alone.select("file", (-1 - F.monotonically_increasing_id()).alias("id"), (0.1 * F.col("n")).alias("weight")), "loops")
+    refs = uses.where("n > 0").join(met, "name").select("file", "id", (F.col("factor") * F.floor(F.sqrt("n"))).alias("weight"))
+    defs = uses.where("defines").join(met, "name").select("file", "id", F.lit(1.0).alias("weight"))
+    sides = []
+    for entries in (refs.unionByName(loops), defs.unionByName(loops.withColumn("weight", F.lit(1.0)))):
+        listed = entries.groupBy("file").agg(F.collect_list(F.struct("id", "weight")).alias("e")).select("file", F.col("e.id").alias("ids"), F.col("e.weight").alias("weights"))
+        sides.append(written(listed, "entries"))
+    rows, columns = (max(1, -(-side.count() // size)) for side, size in zip(sides, (SRC_FILES, DST_FILES)))
+    dealt = lambda n: F.pmod(F.xxhash64("file"), F.lit(n))
+    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    src = sides[0].select(F.lit(True).alias("refers"), dealt(rows).alias("a"), across(columns).alias("b"), "file", "ids", "weights")
+    dst = sides[1].select(F.lit(False).alias("refers"), across(rows).alias("a"), dealt(columns).alias("b"), "file", "ids", "weights")
+    tasks = min(rows * columns, max(int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * columns // 4))
+    # By number, so that tasks with little input and many edges are not put together.
+    return src.unionByName(dst).repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(_edges, "src string, dst string, weight double")
+
+
+def _edges(table: pa.Table) -> pa.Table:
+    """Edges of a block: rows of ``table(refers, file, ids, weights)`` that refer, times those that define."""
+
+    def side(refers: bool) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray, np.ndarray]:
+        part = table.filter(pc.equal(table.column("refers"), refers))
+        spots = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("ids")).to_numpy())
+        return part.column("file"), spots, pc.list_flatten(part.column("ids")).to_numpy(), pc.list_flatten(part.column("weights")).to_numpy()
+
+    (sources, i, left, w), (targets, j, right, _) = side(True), side(False)
+    shape = (len(sources), len(targets))
+    total = np.zeros(shape)
+    shared = np.intersect1d(left, right)
+    if len(shared):
+        here, there = np.isin(left, shared), np.isin(right, shared)
+        i, left, w, j, right = i[here], np.searchsorted(shared, left[here]), w[here], j[there], np.searchsorted(shared, right[there])
+        r, d = np.bincount(left, minlength=len(shared)), np.bincount(right, minlength=len(shared))
+        # names of many files as dense matrices, the others product by product
+        common = np.flatnonzero(16 * r * d >= shape[0] * shape[1])
+        for part in np.split(common, range(_NAMES, len(common), _NAMES)):
+            place = np.full(len(shared), -1)
+            place[part] = np.arange(len(part))
+            a, b = np.zeros((shape[0], len(part))), np.zeros((len(part), shape[1]))
+            at = place[left] >= 0
+            a[i[at], place[left[at]]] = w[at]
+            at = place[right] >= 0
+            b[place[right[at]], j[at]] = 1.0
+            total += a @ b
+        rare = np.ones(len(shared), dtype=bool)
+        rare[common] = False
+        order = np.argsort(right, kind="stable")
+        begins = np.cumsum(d) - d
+        i, left, w = i[rare[left]], left[rare[left]], w[rare[left]]
+        ends = np.cumsum(d[left])
+        lo = 0
+        while lo < len(left):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _PRODUCTS, "right")))
+            n = d[left[lo:hi]]
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            np.add.at(total, (np.repeat(i[lo:hi], n), j[order[np.repeat(begins[left[lo:hi]], n) + steps]]), np.repeat(w[lo:hi], n))
+            lo = hi
+    x, y = np.nonzero(total)
+    return pa.table({"src": sources.take(pa.array(x)), "dst": targets.take(pa.array(y)), "weight": total[x, y]}, schema=pa.schema([("src", pa.string()), ("dst", pa.string()), ("weight", pa.float64())]))
 
 
 def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6, keep: "callable" = None) -> DataFrame:
