@@ -8,6 +8,7 @@ text and nothing else.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -122,7 +123,8 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
 
     The sample is bounded: of a language with more than ``sample_per_language`` documents,
     those whose hash falls below the matching share. It depends on ids and texts only.
-    The executors turn sampled texts into sparse features; the driver gets no text.
+    The executors turn sampled texts into sparse features and one of them fits the models;
+    the driver gets no text and no features.
     """
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -141,9 +143,21 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
                     names=["lang", "o", "slots", "shares"],
                 )
 
-    rows = chosen.mapInArrow(run, "lang string, o long, slots binary, shares binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["o"], bytes(r["slots"])))
-    return _fit([(r["lang"], np.frombuffer(r["slots"], dtype=np.uint32), np.frombuffer(r["shares"], dtype=np.float32).astype(float)) for r in rows])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("lang", "o", "slots", "shares"))))
+        model = _fit([(lang, np.frombuffer(slots, dtype=np.uint32), np.frombuffer(shares, dtype=np.float32).astype(float)) for lang, _, slots, shares in rows])
+        rest = pickle.dumps((model.languages, model.families, model.duels, model.bias, model.slope))
+        for part, held in enumerate([rest, *(np.ascontiguousarray(w).tobytes() for w in model.weights.T)]):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([held], pa.binary())], names=["part", "held"])
+
+    features = chosen.mapInArrow(run, "lang string, o long, slots binary, shares binary")
+    # The sample is bounded, so one task can hold it; the driver gets the models only.
+    found = {r["part"]: r["held"] for r in features.repartition(1).mapInArrow(fit, "part int, held binary").collect()}
+    languages, families, duels, bias, slope = pickle.loads(found[0])
+    table = np.zeros((linear.FEATURES, len(duels)), dtype=np.float32, order="F")
+    for d in range(len(duels)):
+        table[:, d] = np.frombuffer(found[d + 1], dtype=np.float32)
+    return Model(languages, families, duels, table, bias, slope)
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
